@@ -24,8 +24,8 @@ def query(name: str, *bindings: str, sql: str | None = None):
         if sql is not None:
             text = sql.strip()
             head = ctes(*bindings) if bindings else ""
-            if head and text.startswith("WITH "):
-                text = head + ",\n" + text[5:]
+            if head and text.split(None, 1)[0] == "WITH":
+                text = head + ",\n" + text[4:]
             elif head:
                 text = head + "\n" + text
             ORACLES[name] = text

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def todo(cases: DataFrame, done: DataFrame, key: str = "case_id") -> DataFrame:
     return cases.join(done.select(key), key, "left_anti")
 
 
-def append_missing(cases: DataFrame, path: str, key: str = "case_id") -> int:
-    """Append the rows whose key is not in the output yet; gives the number of rows added."""
-    spark = cases.sparkSession
+def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of an earlier run; none where it has not written anything yet."""
     try:
-        rest = todo(cases, spark.read.parquet(path), key)
-    except Exception as error:  # only a missing output counts as empty
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rest = cases
-    before = spark.read.parquet(path).count() if rest is not cases else 0
-    rest.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+        return spark.createDataFrame([], schema)
+
+
+def append_missing(cases: DataFrame, path: str, key: str = "case_id") -> None:
+    """Append the rows whose key is not in the output yet."""
+    done = existing(cases.sparkSession, path, cases.schema)
+    todo(cases, done, key).write.mode("append").parquet(path)
 
 
 def reusable(force: bool, retry_failed: bool, enable_critic: bool) -> Column:
