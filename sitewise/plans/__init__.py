@@ -1,3 +1,3 @@
 """Queries over the given tables: importing the package registers all of them."""
 
-from sitewise.plans import evaluation, preparation  # noqa: F401
+from sitewise.plans import evaluation, preparation, text  # noqa: F401

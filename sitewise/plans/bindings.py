@@ -88,6 +88,14 @@ BINDINGS: dict[str, str] = {
         UNION ALL
         SELECT concat('Unitary ', n_name), CAST(n_nationkey AS STRING), 2, n_nationkey FROM {nation}
         WHERE n_regionkey = 2""",
+    "admin_text": """
+        SELECT c_custkey AS query_id,
+               CASE c_custkey % 9 WHEN 0 THEN concat(n_name, ' District Council') WHEN 1 THEN concat(' City of ', n_name)
+                 WHEN 2 THEN concat('Royal Borough of ', n_name) WHEN 3 THEN concat(n_name, ' (B)')
+                 WHEN 4 THEN concat(n_name, ' Metropolitan Borough Council') WHEN 5 THEN substr(n_name, 1, 6)
+                 WHEN 6 THEN concat(n_name, ' district, Wessex') WHEN 7 THEN concat('St. ', n_name, ' Unitary')
+                 ELSE concat('Atlantis ', c_mktsegment) END AS query
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "grid_text": """
         SELECT s_suppkey AS id,
                concat('T', substr('GQRLM', CAST(1 + s_suppkey % 5 AS INT), 1),
