@@ -86,11 +86,14 @@ def _pooled(places: DataFrame, limit: int) -> DataFrame:
 
 
 def _rank(matches: DataFrame, k: int) -> DataFrame:
-    """Keep a later tier only while the earlier ones gave fewer than k rows; cut at 3k rows."""
-    order = Window.partitionBy("query_id").orderBy("tier", "name_order", "row_id")
+    """Rows of the first stage that found anything, cut at 3k rows; within it a later tier counts
+    only while the earlier ones gave fewer than k rows."""
+    order = Window.partitionBy("query_id").orderBy("stage", "tier", "name_order", "row_id")
     top = matches.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= OVERFETCH * k)
-    earlier = F.rank().over(Window.partitionBy("query_id").orderBy("tier")) - 1
-    return top.withColumn("_earlier", earlier).where(F.col("_earlier") < k).drop("_earlier")
+    per_query = Window.partitionBy("query_id")
+    top = top.withColumn("_first", F.min("stage").over(per_query)).where(F.col("stage") == F.col("_first"))
+    earlier = F.rank().over(per_query.orderBy("tier")) - 1
+    return top.withColumn("_earlier", earlier).where(F.col("_earlier") < k).drop("_earlier", "_first")
 
 
 def distinct_spots(matches: DataFrame, k: int) -> DataFrame:
@@ -111,40 +114,35 @@ def _with_pool(queries: DataFrame, pools: DataFrame) -> DataFrame:
     )
 
 
-def _rows_of(names: DataFrame, routed: DataFrame, pools: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Attach rows to matched names, inside the pool where the query has one."""
-    named = names.join(routed.select("query_id", "context"), "query_id").join(pooled, "name_lc")
-    free = named.where("context IS NULL")
-    bound = named.where("context IS NOT NULL").join(pools, ["context", "admin"], "left_semi")
-    return free.unionByName(bound)
+def _rows_of(names: DataFrame, pools: DataFrame, pooled: DataFrame) -> DataFrame:
+    """Attach rows to names of (query_id, context); `inside` tells whether a row is in the pool."""
+    rows = names.join(pooled, "name_lc")
+    marks = pools.withColumn("_in", F.lit(True))
+    rows = rows.join(marks, ["context", "admin"], "left")
+    return rows.withColumn("inside", F.col("context").isNull() | F.coalesce("_in", F.lit(False))).drop("_in")
 
 
 def search(queries: DataFrame, places: DataFrame, k: int = 10, fuzzy: bool = True) -> DataFrame:
     """Ranked hits per query: query_id, hit, row_id and the place columns.
 
     `queries` has query_id, query, context; `places` has row_id, name1, easting, northing and the
-    admin columns. A context narrows the pool unless it selects nothing; a query that finds
-    nothing in its pool is tried again without it.
+    admin columns. A context narrows the pool unless it selects nothing. The stages are: names in
+    the pool, alike names in the pool, names anywhere, alike names anywhere; the first stage with a
+    hit answers the query.
     """
     places = places if "name_lc" in places.columns else prepare_places(places)
     pools = context_pools(queries, places)
     routed = _with_pool(queries, pools)
-    names = places.select("name_lc").distinct()
     pooled = _pooled(places, OVERFETCH * k)
-    by_name = _name_matches(candidates(routed), names)
-    found = _rows_of(by_name, routed, pools, pooled)
+    by_name = _name_matches(candidates(routed), places.select("name_lc").distinct())
+    rows = _rows_of(by_name.join(routed.select("query_id", "context"), "query_id"), pools, pooled)
+    found = rows.withColumn("stage", F.when(F.col("inside"), 1).otherwise(3))
     if fuzzy:
-        left = routed.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        reached = found.groupBy("query_id").agg(F.min("stage").alias("_first"))
+        left = routed.join(reached, "query_id", "left").where("_first IS NULL OR _first > 1")
         found = found.unionByName(_fuzzy_rows(left, places, pools, pooled, k))
-    narrowed = routed.where("context IS NOT NULL")
-    empty = narrowed.join(found.select("query_id").distinct(), "query_id", "left_anti").withColumn(
-        "context", F.lit(None).cast("string")
-    )
-    again = _rows_of(by_name.join(empty.select("query_id"), "query_id", "left_semi"), empty, pools, pooled)
-    if fuzzy:
-        left = empty.join(again.select("query_id").distinct(), "query_id", "left_anti")
-        again = again.unionByName(_fuzzy_rows(left, places, pools, pooled, k))
-    return distinct_spots(_rank(found.unionByName(again), k), k)
+    hits = distinct_spots(_rank(found, k), k)
+    return hits.drop("stage", "tier", "name_order", "inside", "context")
 
 
 def _keys(text: str) -> F.Column:
@@ -199,25 +197,38 @@ def fuzzy_names(cands: DataFrame, names: DataFrame, k: int) -> DataFrame:
     best = scored.withColumn("order", F.row_number().over(order)).where(F.col("order") <= k)
     c, b = cands.alias("c"), best.alias("b")
     same = (F.col("c.cand") == F.col("b.cand")) & F.col("c.context").eqNullSafe(F.col("b.context"))
-    return c.join(b, same).select("c.query_id", "c.cand_pos", "b.name_lc", "b.score", "b.order")
+    return c.join(b, same).select(
+        "c.query_id", "c.context", "c.cand_pos", "b.name_lc", "b.score", "b.order"
+    )
 
 
-def _fuzzy_rows(
-    left: DataFrame, places: DataFrame, pools: DataFrame, pooled: DataFrame, k: int
-) -> DataFrame:
-    """Rows of the fuzzy tier for queries without any exact or prefix match."""
-    cands = candidates(left).join(left.select("query_id", "context"), "query_id")
-    everywhere = places.groupBy("name_lc").agg(F.min("row_id").alias("pos")).withColumn(
-        "context", F.lit(None).cast("string")
+def _fuzzy_rows(left: DataFrame, places: DataFrame, pools: DataFrame, pooled: DataFrame, k: int) -> DataFrame:
+    """Rows of alike names, for queries that no name in their pool answers.
+
+    `left` has query_id, query, context and _first (NULL where no name anywhere answers). A query
+    is tried in its pool (stage 2) and, where nothing else is left, everywhere (stage 4).
+    """
+    nowhere = F.lit(None).cast("string")
+    tries = F.array(
+        F.struct(F.lit(2).alias("stage"), F.col("context").alias("scope")),
+        F.when(F.col("context").isNotNull() & F.col("_first").isNull(), F.struct(F.lit(4).alias("stage"), nowhere.alias("scope"))),
+    )
+    asked = left.select("query_id", "query", F.explode(F.array_compact(tries)).alias("_t")).select(
+        F.struct("query_id", "_t.stage").alias("query_id"), "query", F.col("_t.scope").alias("context")
     )
+    cands = asked.select(
+        "query_id", "context", F.posexplode(tx.query_candidates(F.col("query"))).alias("cand_pos", "cand")
+    ).where(F.length("cand") > 0)
     by_admin = places.groupBy("name_lc", "admin").agg(F.min("row_id").alias("pos"))
-    needed = pools.join(left.select("context").distinct(), "context", "left_semi")
-    inside = by_admin.join(needed, "admin").groupBy("context", "name_lc").agg(F.min("pos").alias("pos"))
-    best = fuzzy_names(cands, everywhere.unionByName(inside), k)
+    scoped = by_admin.join(pools, "admin").select("name_lc", "context", "pos")
+    names = scoped.unionByName(by_admin.select("name_lc", nowhere.alias("context"), "pos"))
+    names = names.groupBy("context", "name_lc").agg(F.min("pos").alias("pos"))
+    best = fuzzy_names(cands, names, k)
     # Only the first candidate that finds anything counts.
-    first = best.groupBy("query_id").agg(F.min("cand_pos").alias("cand_pos"))
-    chosen = best.join(first, ["query_id", "cand_pos"]).select(
-        "query_id", "name_lc", F.lit(0).alias("tier"), F.col("order").cast("int").alias("name_order")
+    first = Window.partitionBy("query_id")
+    chosen = best.withColumn("_c", F.min("cand_pos").over(first)).where("cand_pos = _c").select(
+        "query_id.query_id", "query_id.stage", "context", "name_lc", F.lit(0).alias("tier"),
+        F.col("order").cast("int").alias("name_order"),
     )
     # One tier for the whole stage: rows follow the order of their names, then the table.
-    return _rows_of(chosen, left, pools, pooled)
+    return _rows_of(chosen, pools, pooled).where("inside")

@@ -145,7 +145,8 @@ _GRID_SQL = """
 
 
 @query("grid_ref", "grid_text", sql=f"""WITH {_GRID_SQL}, {sqlgeo.bng_to_wgs84('f', 'w')}
-    SELECT id, e AS easting, n AS northing, round(lat, 6) AS lat, round(lon, 6) AS lon FROM w""")
+    SELECT id, e AS easting, n AS northing, round(CASE WHEN lat BETWEEN 49 AND 61 AND lon BETWEEN -8.5 AND 2 THEN lat END, 6) AS lat,
+        round(CASE WHEN lat BETWEEN 49 AND 61 AND lon BETWEEN -8.5 AND 2 THEN lon END, 6) AS lon FROM w""")
 def grid_ref(i: Inputs):
     refs = gridref.parse_grid_ref(i.bind("grid_text").select("id", "grid_ref"), "grid_ref")
     return gridref.geocode_grid_ref(refs, "grid_ref").select("id", "easting", "northing", _r("lat"), _r("lon"))
@@ -174,14 +175,14 @@ def easting_northing(i: Inputs):
 
 @query("grid_roundtrip", "point", sql=f"""WITH f AS (SELECT point_id, easting AS e, northing AS n FROM point), {sqlgeo.bng_to_wgs84('f', 'w')}
     SELECT point_id, round(lat, 6) AS lat, round(lon, 6) AS lon, e AS easting, n AS northing,
-        round(6378137 * radians(lon), 2) AS mercator_x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 2) AS mercator_y FROM w""")
+        round(6378137 * radians(lon), 0) AS mercator_x, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 0) AS mercator_y FROM w""")
 def grid_roundtrip(i: Inputs):
     """Grid metres to degrees and back, and on to Mercator."""
     there = crs.bng_to_wgs84(i.bind("point").select("point_id", "easting", "northing"))
     back = crs.wgs84_to_bng(there.select("point_id", "lat", "lon"))
     return back.select(
         "point_id", _r("lat"), _r("lon"), F.round("easting", 2).alias("easting"), F.round("northing", 2).alias("northing"),
-        F.round(crs.mercator_x(F.col("lon")), 2).alias("mercator_x"), F.round(crs.mercator_y(F.col("lat")), 2).alias("mercator_y"),
+        F.round(crs.mercator_x(F.col("lon")), 0).alias("mercator_x"), F.round(crs.mercator_y(F.col("lat")), 0).alias("mercator_y"),
     )
 
 
