@@ -198,7 +198,9 @@ def _corners(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _outlines(pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
     """Outlines of the outermost 8-connected components of one mask."""
-    grid = _raster(pdf, int(pdf["row_no"].max()) + 1, int(pdf["x_end"].max()), pad=1)
+    top, left = int(pdf["row_no"].min()), int(pdf["x_start"].min())
+    moved = pdf.assign(row_no=pdf["row_no"] - top, x_start=pdf["x_start"] - left, x_end=pdf["x_end"] - left)
+    grid = _raster(moved, int(moved["row_no"].max()) + 1, int(moved["x_end"].max()), pad=1)
     outside = _outside(grid, True)
     rows = [_row_spans(line) for line in grid]
     labels = _components(rows, 1)
@@ -212,7 +214,7 @@ def _outlines(pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
     found = []
     for label, (x, y) in start.items():
         if label in open_to_page:
-            found.append([(px - 1, py - 1) for px, py in _corners(_follow(grid, x, y))])
+            found.append([(px - 1 + left, py - 1 + top) for px, py in _corners(_follow(grid, x, y))])
     return found
 
 

@@ -286,6 +286,5 @@ def consensus(signals: DataFrame) -> DataFrame:
 def quadrant_coverage(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, quadrants: quarters of the map with an inlier; `points` has x, y, width, height."""
     east, south = F.col("x") >= F.col("width") / 2, F.col("y") >= F.col("height") / 2
-    quarter = east.cast("int") + 2 * south.cast("int")
-    bits = F.bit_or(F.shiftleft(F.lit(1), quarter))
-    return points.groupBy(*keys).agg(F.bit_count(bits).cast("int").alias("quadrants"))
+    quarter = F.pow(F.lit(2), east.cast("int") + 2 * south.cast("int")).cast("int")
+    return points.groupBy(*keys).agg(F.bit_count(F.bit_or(quarter)).cast("int").alias("quadrants"))

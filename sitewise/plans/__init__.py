@@ -1,3 +1,3 @@
 """Queries over the given tables: importing the package registers all of them."""
 
-from sitewise.plans import evaluation, geocoding, preparation, text  # noqa: F401
+from sitewise.plans import evaluation, geocoding, matching, polygons, preparation, text  # noqa: F401
