@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from sitewise.functions import geo
 from sitewise.functions.geometry import point
@@ -152,13 +153,23 @@ def _outside(solid: np.ndarray, everywhere: bool) -> np.ndarray:
     return out
 
 
-def _raster(pdf: pd.DataFrame, height: int, width: int, pad: int = 0) -> np.ndarray:
+def _raster(ys, starts, ends, height: int, width: int, pad: int = 0) -> np.ndarray:
     grid = np.zeros((height + 2 * pad, width + 2 * pad), dtype=bool)
-    for y, s, e in zip(pdf["row_no"], pdf["x_start"], pdf["x_end"]):
+    for y, s, e in zip(ys, starts, ends):
         grid[y + pad, s + pad : e + pad] = True
     return grid
 
 
+def _gathered(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per mask with its merged runs as three arrays: at most one page image each.
+
+    Images are spread over all shuffle partitions: the runs are small, the work on them is not.
+    """
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = merge_runs(runs, [*keys, "row_no"])
+    return merged.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in ("row_no", "x_start", "x_end")]).repartition(n)
+
+
 # The eight neighbours (dx, dy), clockwise on a page with y pointing down.
 _AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
@@ -196,11 +207,11 @@ def _corners(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return keep
 
 
-def _outlines(pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
+def _outlines(ys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, int]]]:
     """Outlines of the outermost 8-connected components of one mask."""
-    top, left = int(pdf["row_no"].min()), int(pdf["x_start"].min())
-    moved = pdf.assign(row_no=pdf["row_no"] - top, x_start=pdf["x_start"] - left, x_end=pdf["x_end"] - left)
-    grid = _raster(moved, int(moved["row_no"].max()) + 1, int(moved["x_end"].max()), pad=1)
+    top, left = int(ys.min()), int(starts.min())
+    height, width = int(ys.max()) - top + 1, int(ends.max()) - left
+    grid = _raster(ys - top, starts - left, ends - left, height, width, pad=1)
     outside = _outside(grid, True)
     rows = [_row_spans(line) for line in grid]
     labels = _components(rows, 1)
@@ -218,21 +229,20 @@ def _outlines(pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
     return found
 
 
+@F.pandas_udf(ArrayType(ArrayType(ArrayType(DoubleType()))))
+def _outline_udf(ys: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series(
+        [[[[float(x), float(y)] for x, y in ring] for ring in _outlines(np.asarray(a), np.asarray(b), np.asarray(c))]
+         for a, b, c in zip(ys, starts, ends)]
+    )
+
+
 def trace_outlines(runs: DataFrame) -> DataFrame:
     """mask_id, ring_no, ring (array of pixel points) of every outline with four corners or more."""
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [r for r in _outlines(pdf) if len(r) >= 4]
-        return pd.DataFrame({
-            "mask_id": [pdf["mask_id"].iloc[0]] * len(rings),
-            "ring_no": list(range(len(rings))),
-            "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings],
-        })
-
-    kind = runs.schema["mask_id"].dataType.simpleString()
-    merged = merge_runs(runs, ["mask_id", "row_no"])
-    return merged.groupBy("mask_id").applyInPandas(
-        trace, f"mask_id {kind}, ring_no int, ring array<struct<x:double,y:double>>"
+    traced = _gathered(runs, ["mask_id"]).select("mask_id", _outline_udf("row_no", "x_start", "x_end").alias("_r"))
+    rings = traced.select("mask_id", F.posexplode("_r").alias("ring_no", "_p")).where(F.size("_p") >= 4)
+    return rings.select(
+        "mask_id", "ring_no", F.transform("_p", lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1)))).alias("ring")
     )
 
 
@@ -282,20 +292,21 @@ def _filled(grid: np.ndarray) -> np.ndarray:
     return filled if share * FILL_GROWTH < after < FILL_MAX else grid
 
 
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _fill_udf(ys: pd.Series, starts: pd.Series, ends: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    def runs(a, b, c, h, w) -> list[list[int]]:
+        grid = _filled(_raster(a, b, c, h, w))
+        return [[y, s, e] for y in range(h) for s, e in _row_spans(grid[y])]
+
+    return pd.Series([runs(*row) for row in zip(ys, starts, ends, height, width)])
+
+
 def fill_outlines(runs: DataFrame) -> DataFrame:
     """Runs of each mask with its outline filled, or the mask as it was where the gates refuse.
 
     `runs` has mask_id, height, width and the run columns.
     """
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
-        grid = _filled(_raster(pdf, h, w))
-        spans = [(y, s, e) for y in range(h) for s, e in _row_spans(grid[y])]
-        out = pd.DataFrame(spans, columns=["row_no", "x_start", "x_end"])
-        out.insert(0, "mask_id", pdf["mask_id"].iloc[0])
-        return out.astype({"row_no": "int32", "x_start": "int32", "x_end": "int32"})
-
-    kind = runs.schema["mask_id"].dataType.simpleString()
-    merged = merge_runs(runs, ["mask_id", "height", "width", "row_no"])
-    return merged.groupBy("mask_id").applyInPandas(fill, f"mask_id {kind}, row_no int, x_start int, x_end int")
+    filled = _gathered(runs, ["mask_id", "height", "width"]).select(
+        "mask_id", F.explode(_fill_udf("row_no", "x_start", "x_end", "height", "width")).alias("_r")
+    )
+    return filled.select("mask_id", *[F.col("_r")[k].alias(c) for k, c in enumerate(("row_no", "x_start", "x_end"))])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from sitewise.functions.geometry import MULTI
+from sitewise.functions.geometry import point
 from sitewise.operators.overlay import layer_edges, slab_edges
 
 SNAP = 9  # decimals at which two computed crossing heights are the same point
@@ -126,6 +127,14 @@ def chain_rings(pieces: list[tuple[float, float, float, float]]) -> list[list[li
     return polygons
 
 
+@F.pandas_udf(ArrayType(ArrayType(ArrayType(ArrayType(DoubleType())))))
+def _chain_udf(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    return pd.Series(
+        [[[[list(p) for p in ring] for ring in poly] for poly in chain_rings(list(zip(*map(list, row))))]
+         for row in zip(ax, ay, bx, by)]
+    )
+
+
 def union_geometries(parts: DataFrame, key: str, part_id: str, geom: str = "geom") -> DataFrame:
     """key, geom: union of the geometries of a key. A single geometry is passed through as it is.
 
@@ -143,13 +152,13 @@ def union_geometries(parts: DataFrame, key: str, part_id: str, geom: str = "geom
     single = sized.where("_k = 1").select(key, F.col(geom).alias("geom"))
     many = sized.where("_k > 1").withColumn("g", F.col(part_id))
     outline = _boundary(layer_edges(many.select(key, "g", "_n", "_min", "_max", geom), [key], "g", geom), [key])
-    kind = parts.schema[key].dataType.simpleString()
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = list(zip(pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"]))
-        polygons = chain_rings(pieces)
-        value = [[[{"x": x, "y": y} for x, y in ring] for ring in poly] for poly in polygons]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "geom": [value]})
-
-    merged = outline.groupBy(key).applyInPandas(chain, f"{key} {kind}, geom {MULTI}")
+    # Small outlines, costly chaining: spread over all shuffle partitions.
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = outline.groupBy(key).agg(*[F.collect_list(c).alias(c) for c in ("ax", "ay", "bx", "by")]).repartition(n)
+    chained = whole.select(key, _chain_udf("ax", "ay", "bx", "by").alias("_g"))
+    merged = chained.select(
+        key,
+        F.transform("_g", lambda poly: F.transform(poly, lambda ring: F.transform(
+            ring, lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))).alias("geom"),
+    )
     return single.unionByName(merged)

@@ -19,7 +19,7 @@ def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
 
-def quad_pairs(i: Inputs, degrees: bool = False):
+def quad_pairs(i: Inputs, degrees: bool = False, unit: float = 1.0):
     """case_id, truth, predicted and the binding's columns; optionally on a small box of degrees."""
     q = i.bind("case_quad")
 
@@ -28,6 +28,7 @@ def quad_pairs(i: Inputs, degrees: bool = False):
         corners = ((ox, oy), (ox + w, oy), (ox + w + s, oy + h), (ox + s, oy + h))
         if degrees:
             corners = tuple((x / 1000 - 2, y / 1000 + 52) for x, y in corners)
+        corners = tuple((x / unit, y / unit) for x, y in corners)
         return multi_of_ring(*corners)
 
     tx_, ty_ = F.col("tx"), F.col("ty")
@@ -43,12 +44,14 @@ _CENTRES = """
                   (tx + dx + (w + skew) / 2) / 1000 - 2 AS lon2, (ty + dy + h / 2) / 1000 + 52 AS lat2 FROM ov)"""
 
 
-@query("polygon_overlay", "case_quad", sql=f"""WITH {_OVERLAP}, {_CENTRES}
-    SELECT case_id, round(shared / (2 * one - shared), 6) AS iou, round(shared / one, 6) AS precision, round(shared / one, 6) AS recall,
-        round({sqlgeo.haversine_km('lat1', 'lon1', 'lat2', 'lon2')} * 1000, 3) AS centroid_distance_m, false AS repaired FROM ce""")
+@query("polygon_overlay", "case_quad", sql=f"""WITH {_OVERLAP}
+    SELECT case_id, round(shared / (2 * one - shared), 9) AS iou, round(shared / one, 9) AS precision, round(shared / one, 9) AS recall,
+        round({sqlgeo.haversine_km('(ty + h / 2) / 1024', '(tx + (w + skew) / 2) / 1024', '(ty + dy + h / 2) / 1024', '(tx + dx + (w + skew) / 2) / 1024')} * 1000, 3)
+        AS centroid_distance_m, false AS repaired FROM ov""")
 def polygon_overlay(i: Inputs):
-    scored = overlay.score_pairs(quad_pairs(i, True), "case_id", "truth", "predicted")
-    return scored.select("case_id", _r("iou"), _r("precision"), _r("recall"), _r("centroid_distance_m", 3), "repaired")
+    """Scores of every pair against the closed form; 1024 units make a degree, so corners are exact."""
+    scored = overlay.score_pairs(quad_pairs(i, unit=1024.0), "case_id", "truth", "predicted")
+    return scored.select("case_id", _r("iou", 9), _r("precision", 9), _r("recall", 9), _r("centroid_distance_m", 3), "repaired")
 
 
 _REPORT_SQL = f"""WITH {_OVERLAP}, {_CENTRES},
