@@ -23,20 +23,24 @@ def write_geojson(results: DataFrame, path: str) -> None:
     found.select("case_id", to_geojson(F.col("geom")).alias("value")).write.mode("overwrite").partitionBy("case_id").text(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the target and swap, so that a reader sees the old or the new table, never half."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a finished folder in the place of a table."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
+        fs.rename(target, old)
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
         raise OSError(f"could not put {fresh} in place of {path}")
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(old)):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    if fs.exists(old):
+        fs.delete(old, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write beside the target and swap, so that a reader sees the old or the new table, never half."""
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    _swap(df.sparkSession, fresh, path)
 
 
 def write_summary(summary: DataFrame, path: str, order: Sequence[str], kind: str = "json") -> None:
@@ -50,10 +54,9 @@ def write_summary(summary: DataFrame, path: str, order: Sequence[str], kind: str
 
 def build_road_index(spark: SparkSession, roads: DataFrame, path: str) -> None:
     """Index the named roads for lookups, by first letter; an empty index is refused."""
-    index = road_index(roads)
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
-    index.withColumn("letter", F.left("name_lc", F.lit(1))).write.partitionBy("letter").parquet(staged)
-    written = spark.read.parquet(staged)
-    if written.isEmpty():
+    index = road_index(roads).withColumn("letter", F.left("name_lc", F.lit(1)))
+    staged = f"{path}.new-{uuid.uuid4().hex}"
+    index.write.partitionBy("letter").parquet(staged)
+    if spark.read.schema(index.schema).parquet(staged).isEmpty():
         raise RuntimeError("no named roads were found; the index is not replaced")
-    replace_table(written, path)
+    _swap(spark, staged, path)
