@@ -44,24 +44,32 @@ def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def mask_confusion(runs: DataFrame) -> DataFrame:
-    """mask_id, tp, n_pred, n_gt, iou, precision, recall, f1, dice.
+    """mask_id, tp, n_pred, n_gt, iou, precision, recall, f1, dice; `runs` has which in ('pred', 'gt').
 
-    `runs` has which in ('pred', 'gt'). Two merged sides of a row overlap in at most one run more
-    than they have, so the row join stays linear.
+    One sweep along each pixel row: starts and ends are summed per position first, so a row never
+    holds more than its width, and no run is paired with another.
     """
-    merged = merge_runs(runs, ["mask_id", "which", "row_no"])
-    size = F.col("x_end") - F.col("x_start")
-    sums = merged.groupBy("mask_id").agg(
-        F.coalesce(F.sum(F.when(F.col("which") == "pred", size)), F.lit(0)).alias("n_pred"),
-        F.coalesce(F.sum(F.when(F.col("which") == "gt", size)), F.lit(0)).alias("n_gt"),
+    by = ["mask_id", "row_no"]
+    ends = F.explode(F.array(F.struct(F.col("x_start").alias("x"), F.lit(1).alias("d")),
+                             F.struct(F.col("x_end").alias("x"), F.lit(-1).alias("d")))).alias("_e")
+    steps = runs.where("x_end > x_start").select(*by, "which", ends).select(*by, "which", "_e.*")
+    turns = steps.groupBy(*by, "x").agg(
+        F.sum(F.when(F.col("which") == "pred", F.col("d")).otherwise(0)).alias("dp"),
+        F.sum(F.when(F.col("which") == "gt", F.col("d")).otherwise(0)).alias("dg"),
     )
-    p = merged.where("which = 'pred'").select("mask_id", "row_no", F.col("x_start").alias("ps"), F.col("x_end").alias("pe"))
-    g = merged.where("which = 'gt'").select("mask_id", "row_no", F.col("x_start").alias("gs"), F.col("x_end").alias("ge"))
-    shared = p.join(g, ["mask_id", "row_no"]).where("ps < ge AND gs < pe").groupBy("mask_id").agg(
-        F.sum(F.least("pe", "ge") - F.greatest("ps", "gs")).alias("tp")
+    order = Window.partitionBy(*by).orderBy("x")
+    swept = turns.select(
+        "mask_id", (F.sum("dp").over(order) > 0).alias("p"), (F.sum("dg").over(order) > 0).alias("g"),
+        (F.lead("x").over(order) - F.col("x")).alias("size"),
     )
-    joined = sums.join(shared, "mask_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    return joined.select("mask_id", "tp", "n_pred", "n_gt", *confusion_scores("tp", "n_pred", "n_gt"))
+
+    def pixels(inside: Column) -> Column:
+        return F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).cast("bigint")
+
+    sums = swept.groupBy("mask_id").agg(
+        pixels(F.col("p") & F.col("g")).alias("tp"), pixels(F.col("p")).alias("n_pred"), pixels(F.col("g")).alias("n_gt")
+    )
+    return sums.select("mask_id", "tp", "n_pred", "n_gt", *confusion_scores("tp", "n_pred", "n_gt"))
 
 
 def confusion_scores(tp: str, n_pred: str, n_gt: str) -> list[Column]:

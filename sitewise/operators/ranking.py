@@ -198,7 +198,10 @@ def nearest_proposal(attempts: DataFrame, proposals: DataFrame) -> DataFrame:
     A case without proposals accepts any coordinate.
     """
     away = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    centres = proposals.select("case_id", "center_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    # Repeated proposals of one spot count once.
+    centres = proposals.groupBy("case_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(
+        F.min("center_id").alias("center_id")
+    )
     rows = attempts.join(centres, "case_id", "left").withColumn("d", away)
     best = F.min(F.struct("d", "center_id")).alias("_b")
     return rows.groupBy("case_id", "seq").agg(best).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions import text as tx
@@ -79,10 +79,27 @@ def context_pools(queries: DataFrame, places: DataFrame) -> DataFrame:
     return hits.select("context", "admin").distinct()
 
 
-def _pooled(places: DataFrame, limit: int) -> DataFrame:
-    """At most `limit` rows per name and admin text, in table order: no query can use more."""
-    order = Window.partitionBy("name_lc", "admin").orderBy("row_id")
-    return places.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+def _scope(context: Column) -> Column:
+    """Join key of a pool: one per context, and the empty text for the whole table."""
+    return F.coalesce(F.concat(F.lit("="), context), F.lit(""))
+
+
+def _top_rows(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("row_id")
+    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+
+
+def _pool_rows(places: DataFrame, pools: DataFrame, limit: int) -> DataFrame:
+    """scope, name_lc and place columns: the first `limit` rows of a name in each pool.
+
+    Hits follow the table order within a name, so no query can use more. The cut is made once per
+    name and admin text and once per pool, before any query is joined.
+    """
+    whole = _top_rows(places, ["name_lc"], limit).withColumn("scope", F.lit(""))
+    scoped = _top_rows(places, ["name_lc", "admin"], limit).join(
+        pools.select("admin", _scope(F.col("context")).alias("scope")), "admin"
+    )
+    return whole.unionByName(_top_rows(scoped, ["scope", "name_lc"], limit))
 
 
 def _rank(matches: DataFrame, k: int) -> DataFrame:
@@ -114,14 +131,6 @@ def _with_pool(queries: DataFrame, pools: DataFrame) -> DataFrame:
     )
 
 
-def _rows_of(names: DataFrame, pools: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Attach rows to names of (query_id, context); `inside` tells whether a row is in the pool."""
-    rows = names.join(pooled, "name_lc")
-    marks = pools.withColumn("_in", F.lit(True))
-    rows = rows.join(marks, ["context", "admin"], "left")
-    return rows.withColumn("inside", F.col("context").isNull() | F.coalesce("_in", F.lit(False))).drop("_in")
-
-
 def search(queries: DataFrame, places: DataFrame, k: int = 10, fuzzy: bool = True) -> DataFrame:
     """Ranked hits per query: query_id, hit, row_id and the place columns.
 
@@ -133,19 +142,24 @@ def search(queries: DataFrame, places: DataFrame, k: int = 10, fuzzy: bool = Tru
     places = places if "name_lc" in places.columns else prepare_places(places)
     pools = context_pools(queries, places)
     routed = _with_pool(queries, pools)
-    pooled = _pooled(places, OVERFETCH * k)
+    pooled = _pool_rows(places, pools, OVERFETCH * k)
     by_name = _name_matches(candidates(routed), places.select("name_lc").distinct())
-    rows = _rows_of(by_name.join(routed.select("query_id", "context"), "query_id"), pools, pooled)
-    found = rows.withColumn("stage", F.when(F.col("inside"), 1).otherwise(3))
+    # A narrowed query asks its pool first and the whole table last.
+    tries = F.array(
+        F.struct(F.lit(1).alias("stage"), _scope(F.col("context")).alias("scope")),
+        F.when(F.col("context").isNotNull(), F.struct(F.lit(3).alias("stage"), F.lit("").alias("scope"))),
+    )
+    asked = routed.select("query_id", F.explode(F.array_compact(tries)).alias("_t")).select("query_id", "_t.*")
+    found = by_name.join(asked, "query_id").join(pooled, ["scope", "name_lc"])
     if fuzzy:
         reached = found.groupBy("query_id").agg(F.min("stage").alias("_first"))
         left = routed.join(reached, "query_id", "left").where("_first IS NULL OR _first > 1")
         found = found.unionByName(_fuzzy_rows(left, places, pools, pooled, k))
     hits = distinct_spots(_rank(found, k), k)
-    return hits.drop("stage", "tier", "name_order", "inside", "context")
+    return hits.drop("stage", "tier", "name_order", "scope")
 
 
-def _keys(text: str) -> F.Column:
+def _keys(text: str) -> Column:
     """Grams of which a string and any string scoring above the cut-off share at least one.
 
     Whole tokens cover token sets; two-letter grams of the string and of its sorted tokens cover
@@ -156,7 +170,7 @@ def _keys(text: str) -> F.Column:
     words = F.array_sort(F.filter(F.split(value, r"\s+"), lambda w: F.length(w) > 0))
     sorted_text = F.array_join(words, " ")
 
-    def grams(t: F.Column, n: int) -> F.Column:
+    def grams(t: Column, n: int) -> Column:
         return F.when(
             F.length(t) >= n,
             F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))),
@@ -227,8 +241,8 @@ def _fuzzy_rows(left: DataFrame, places: DataFrame, pools: DataFrame, pooled: Da
     # Only the first candidate that finds anything counts.
     first = Window.partitionBy("query_id")
     chosen = best.withColumn("_c", F.min("cand_pos").over(first)).where("cand_pos = _c").select(
-        "query_id.query_id", "query_id.stage", "context", "name_lc", F.lit(0).alias("tier"),
-        F.col("order").cast("int").alias("name_order"),
+        "query_id.query_id", "query_id.stage", _scope(F.col("context")).alias("scope"), "name_lc",
+        F.lit(0).alias("tier"), F.col("order").cast("int").alias("name_order"),
     )
     # One tier for the whole stage: rows follow the order of their names, then the table.
-    return _rows_of(chosen, pools, pooled).where("inside")
+    return chosen.join(pooled, ["scope", "name_lc"])
