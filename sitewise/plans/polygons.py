@@ -45,13 +45,13 @@ _CENTRES = """
 
 
 @query("polygon_overlay", "case_quad", sql=f"""WITH {_OVERLAP}
-    SELECT case_id, round(shared / (2 * one - shared), 9) AS iou, round(shared / one, 9) AS precision, round(shared / one, 9) AS recall,
+    SELECT case_id, round(shared / (2 * one - shared), 10) AS iou, round(shared / one, 10) AS precision, round(shared / one, 10) AS recall,
         round({sqlgeo.haversine_km('(ty + h / 2) / 1024', '(tx + (w + skew) / 2) / 1024', '(ty + dy + h / 2) / 1024', '(tx + dx + (w + skew) / 2) / 1024')} * 1000, 3)
         AS centroid_distance_m, false AS repaired FROM ov""")
 def polygon_overlay(i: Inputs):
     """Scores of every pair against the closed form; 1024 units make a degree, so corners are exact."""
     scored = overlay.score_pairs(quad_pairs(i, unit=1024.0), "case_id", "truth", "predicted")
-    return scored.select("case_id", _r("iou", 9), _r("precision", 9), _r("recall", 9), _r("centroid_distance_m", 3), "repaired")
+    return scored.select("case_id", _r("iou", 10), _r("precision", 10), _r("recall", 10), _r("centroid_distance_m", 3), "repaired")
 
 
 _REPORT_SQL = f"""WITH {_OVERLAP}, {_CENTRES},
