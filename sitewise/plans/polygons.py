@@ -8,7 +8,7 @@ from sitewise.evaluate import scores as sc
 from sitewise.functions import geometry, geo
 from sitewise.functions import text as tx
 from sitewise.functions.geometry import bounds, edges, multi_of_ring
-from sitewise.operators import masks, overlay, union
+from sitewise.operators import masks, overlay, reproject, union
 from sitewise.operators.polygon import area, centroid, nearest_part_error_km, span_m
 from sitewise.plans import sqlgeo
 from sitewise.plans.bindings import Inputs
@@ -213,3 +213,39 @@ def outline_fill(i: Inputs):
     runs = runs.select("mask_id", "height", "width", "row_no", F.col("_r.s").alias("x_start"), F.col("_r.e").alias("x_end"))
     filled = masks.fill_outlines(runs)
     return filled.groupBy("mask_id").agg(F.sum(F.col("x_end") - F.col("x_start")).alias("n_pixels"))
+
+
+def _grid_corner_sql() -> str:
+    corners = (("tx", "ty"), ("tx + w", "ty"), ("tx + w + skew", "ty + h"), ("tx + skew", "ty + h"), ("tx", "ty"))
+    return " UNION ALL ".join(
+        f"SELECT case_id, {k} AS pos, 400000 + 100 * ({x}) AS e, 200000 + 100 * ({y}) AS n FROM case_quad"
+        for k, (x, y) in enumerate(corners)
+    )
+
+
+def _grid_quads(i: Inputs):
+    """The true boundaries on grid metres."""
+    q = i.bind("case_quad")
+    x, y, w, h, s = F.col("tx"), F.col("ty"), F.col("w"), F.col("h"), F.col("skew")
+    corners = ((x, y), (x + w, y), (x + w + s, y + h), (x + s, y + h))
+    return q.select("case_id", multi_of_ring(*[(400000 + 100 * a, 200000 + 100 * b) for a, b in corners]).alias("geom"))
+
+
+@query("reprojected_bounds", "case_quad", sql=f"""WITH f AS ({_grid_corner_sql()}), {sqlgeo.bng_to_wgs84('f', 'm')}
+    SELECT case_id, round(min(lon), 5) AS minx, round(min(lat), 5) AS miny, round(max(lon), 5) AS maxx, round(max(lat), 5) AS maxy FROM m GROUP BY 1""")
+def reprojected_bounds(i: Inputs):
+    """Bounds in degrees of boundaries on the grid, over all their corners."""
+    b = reproject.reprojected_bounds(_grid_quads(i), "case_id", reproject.grid_to_degrees)
+    return b.select("case_id", *[_r(c, 5) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+@query("geometry_pixels", "case_quad", sql=f"""WITH f AS ({_grid_corner_sql()}), {sqlgeo.bng_to_wgs84('f', 'm')},
+    c AS (SELECT case_id, pos, (6378137 * radians(lon) + 250000) / 500000 * 1024 AS px,
+                 (1 - (6378137 * ln(tan(pi() / 4 + radians(lat) / 2)) - 6700000) / 500000) * 1024 AS py FROM m)
+    SELECT case_id, CAST(pos AS INT) AS pos, round(px, 2) AS px, round(py, 2) AS py FROM c""")
+def geometry_pixels(i: Inputs):
+    """Corners of boundaries on a canvas with given Mercator bounds."""
+    canvas = {"xmin": -250000.0, "ymin": 6700000.0, "xmax": 250000.0, "ymax": 7200000.0, "cw": 1024.0, "ch": 1024.0}
+    q = _grid_quads(i).withColumns({k: F.lit(v) for k, v in canvas.items()})
+    p = reproject.geometry_pixels(q, "case_id", ["xmin", "ymin", "xmax", "ymax"], ["cw", "ch"])
+    return p.select("case_id", "pos", _r("px", 2), _r("py", 2))
