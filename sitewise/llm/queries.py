@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import mixing, rules, shards
+from sitewise.llm import minhash, mixing, rules, shards
 from sitewise.llm.common import content_key, n_words, table
 
+OP3 = minhash.NearDup(words=3, percent=85)
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -15,6 +17,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "lang")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, OP3).drop("fingerprint")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, n_words(F.col("text")))
@@ -29,5 +36,5 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_mixing, op5_sharding)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op4_mixing, op5_sharding)}
 ORACLES: dict[str, str] = {}
