@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import minhash, mixing, rules, shards
+from sitewise.llm import minhash, mixing, packing, rules, shards
 from sitewise.llm.common import content_key, n_words, table
 
 OP3 = minhash.NearDup(words=3, percent=85)
@@ -36,5 +38,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op4_mixing, op5_sharding)}
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary; TOKENIZER_DIR, where set, names another folder that holds it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op4_mixing, op5_sharding, op6_best_fit_packing)}
 ORACLES: dict[str, str] = {}
