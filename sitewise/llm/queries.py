@@ -7,12 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import minhash, mixing, packing, rules, shards
+from sitewise.llm import embeddings, html, minhash, mixing, packing, quality, rules, shards, tokens, toxicity
 from sitewise.llm.common import content_key, n_words, table
 
 OP3 = minhash.NearDup(words=3, percent=85)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = rules.judge(docs, rules.language_references(docs))
@@ -54,5 +58,29 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_dedup, op4_mixing, op5_sharding, op6_best_fit_packing)}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.token_counts(docs, tokens.Unigram.from_sentencepiece(tokenizer_file("piece_bpe_32k.model")))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_html_extraction, op2_quality_rules, op3_minhash_dedup, op4_mixing, op5_sharding, op6_best_fit_packing,
+        op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_quality_classifier,
+    )
+}
 ORACLES: dict[str, str] = {}
