@@ -28,7 +28,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
 
 
-def fit_logistic(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
+def fit_logistic(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights, intercept last, by Newton steps with a ridge; targets may be probabilities."""
     x = np.hstack([rows, np.ones((len(rows), 1))])
     w = np.zeros(x.shape[1])
