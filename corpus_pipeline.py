@@ -3,13 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sitewise.llm import minhash, mixing, packing, rules, toxicity
+from sitewise.llm.common import fresh, n_words, settle, table
+from sitewise.llm.queries import tokenizer_file
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near a language reference taken from docs themselves."""
+    columns = docs.columns
+    return rules.judge(docs, rules.language_references(docs)).where("kept").select(*columns)
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, taught on the labelled ones among docs, doesn't call toxic."""
+    columns = docs.columns
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8 or more)."""
+    return minhash.keep_one(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: repeats are rows, documents that it doesn't take go."""
+    columns = docs.columns
+    mixed = mixing.mix(docs, n_words(F.col("text"))).where("repeats > 0")
+    (again,) = fresh(mixed, "_again")
+    return mixed.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences of at most 2048."""
+    out = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("toxicity", clean_of_toxicity), ("minhash_dedup", one_of_each_group),
+    ("mixing", mixed_sources), ("packing", packed),
+]
+# Tokenization, minima and the classifier have no SQL form; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages in turn; each one's documents are a written table that the next one reads."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
