@@ -119,7 +119,7 @@ def _exact(stock: _Stock, room: int) -> tuple[int, ...]:
         if 2 * a < room:
             break
         b = room - a
-        if count.get(b) and (a != b or count[a] > 1):
+        if count[a] and count.get(b) and (a != b or count[a] > 1):
             return (a, b)
     for i in range(upto - 1, -1, -1):  # triples
         a = present[i]

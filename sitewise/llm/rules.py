@@ -162,3 +162,14 @@ def judge(
     return rows.withColumns({
         "base_failed": failed, "class_distance": F.col(near)["c"], "word_distance": F.col(near)["w"], "kept": kept,
     }).select(*docs.columns, *added)
+
+
+def passing(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]], rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The rows of docs that judge keeps, with their own columns.
+
+    The row number keeps the optimizer from moving the test below the steps that it is made of,
+    which would work every step out again for each of its uses.
+    """
+    judged = judge(docs, references, rules, text_col)
+    (row,) = fresh(judged, "_row")
+    return judged.withColumn(row, F.monotonically_increasing_id()).where(F.col("kept") & (F.col(row) >= 0)).select(*docs.columns)
