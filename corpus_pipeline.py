@@ -12,8 +12,7 @@ from sitewise.llm.queries import tokenizer_file
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near a language reference taken from docs themselves."""
-    columns = docs.columns
-    return rules.judge(docs, rules.language_references(docs)).where("kept").select(*columns)
+    return rules.passing(docs, rules.language_references(docs))
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
