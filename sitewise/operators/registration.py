@@ -1,51 +1,108 @@
 """Robust similarity fit of point pairs, per match and without any group in one task.
 
-A fixed number of two-point models per match, drawn by hash so that a rerun draws the same, is
-joined back to the points; inliers per model are a plain count with partial sums, and the final
-least-squares fit over the inliers of the best model is a closed form of sums.
+Two-point models are drawn by hash, so that a rerun draws the same, in rounds that grow: a match
+stays open until its models are as many as the inlier share found so far asks for, up to
+MAX_MODELS or all its pairs of points. Inliers per model are a plain count with partial sums, and
+the final least-squares fit over the inliers of the best model is a closed form of sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions import geo
+from sitewise.operators.stats import bucketed_rank
+from sitewise.session import checkpoint_dir
 
 THRESHOLD_PX = 10.0
 MIN_POINTS = 4
-MODELS = 64
+MAX_MODELS = 2000
+ROUNDS = (64, 192, 512, 1232)  # models per round, MAX_MODELS in all
+CONFIDENCE = 0.999
+PART = 1024  # points of a match that are tried together; a match of many points is many parts
 SEED = 42
+MODEL = ("a", "b", "tx", "ty")
+
+
+def _pair(n: Column, pairs: Column, model: Column, seed: int, max_models: int) -> tuple[Column, Column]:
+    """Ranks (from 0) of a model's two points: every pair once where there are few, else two drawn ones."""
+    # Pairs in order (0,1) (0,2) (1,2) (0,3) ...: the later rank is the root of the pair's number.
+    root = F.floor((F.sqrt(8.0 * model + 1) + 1) / 2)
+    each = model - F.floor(root * (root - 1) / 2)
+    first = F.pmod(F.xxhash64(F.lit(seed), "match_id", model, F.lit(0)), n)
+    step = F.pmod(F.xxhash64(F.lit(seed), "match_id", model, F.lit(1)), n - 1) + 1
+    all_of_them = pairs <= max_models
+    return F.when(all_of_them, each).otherwise(first), F.when(all_of_them, root).otherwise((first + step) % n)
 
 
-def _models(points: DataFrame, n_models: int, seed: int) -> DataFrame:
-    """match_id, model, a, b, tx, ty: x' = a x - b y + tx, y' = b x + a y + ty."""
-    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("match_id"), F.col("idx")))
-    order = Window.partitionBy("match_id").orderBy("_draw", "idx")
-    drawn = points.withColumn("_draw", draw).withColumn("_rn", F.row_number().over(order) - 1)
-    drawn = drawn.where(F.col("_rn") < n_models + 1)
+def _models(ranked: DataFrame, asked: DataFrame, seed: int, max_models: int) -> DataFrame:
+    """match_id, model, n_points, a, b, tx, ty: x' = a x - b y + tx, y' = b x + a y + ty.
+
+    ranked: points with _rank; asked: match_id, n_points, pairs, model.
+    """
+    p, q = _pair(F.col("n_points"), F.col("pairs"), F.col("model"), seed, max_models)
+    ranks = asked.withColumns({"_p": p, "_q": q})
     one = F.struct("x0", "y0", "x1", "y1")
-    # Model m takes the m-th drawn point and the next one.
-    mates = drawn.select("match_id", F.explode(F.array(F.struct(F.col("_rn").alias("m"), F.lit(0).alias("k")),
-                                                       F.struct((F.col("_rn") - 1).alias("m"), F.lit(1).alias("k")))).alias("_r"),
-                         one.alias("p"))
-    paired = mates.groupBy("match_id", F.col("_r.m").alias("model")).agg(
-        F.max(F.when(F.col("_r.k") == 0, F.col("p"))).alias("p"), F.max(F.when(F.col("_r.k") == 1, F.col("p"))).alias("q")
-    )
+    for side in ("p", "q"):
+        points = ranked.select("match_id", F.col("_rank").alias(f"_{side}"), one.alias(side))
+        ranks = ranks.join(points, ["match_id", f"_{side}"])
     ux, uy = F.col("q.x0") - F.col("p.x0"), F.col("q.y0") - F.col("p.y0")
     vx, vy = F.col("q.x1") - F.col("p.x1"), F.col("q.y1") - F.col("p.y1")
     norm = ux * ux + uy * uy
     a, b = F.try_divide(ux * vx + uy * vy, norm), F.try_divide(ux * vy - uy * vx, norm)
-    fitted = paired.where("p IS NOT NULL AND q IS NOT NULL").select(
-        "match_id", "model", "p", a.alias("a"), b.alias("b")
-    ).where("a IS NOT NULL AND (a <> 0 OR b <> 0)")
+    fitted = ranks.select("match_id", "model", "n_points", "p", a.alias("a"), b.alias("b")).where("a IS NOT NULL AND (a <> 0 OR b <> 0)")
     return fitted.select(
-        "match_id", "model", "a", "b",
+        "match_id", "model", "n_points", "a", "b",
         (F.col("p.x1") - F.col("a") * F.col("p.x0") + F.col("b") * F.col("p.y0")).alias("tx"),
         (F.col("p.y1") - F.col("b") * F.col("p.x0") - F.col("a") * F.col("p.y0")).alias("ty"),
     )
 
 
+def _best_models(points: DataFrame, sizes: DataFrame, limit: Column, seed: int, rounds: Sequence[int]) -> DataFrame:
+    """match_id and the model with most inliers; ties go to the one drawn first."""
+    checkpoint_dir(points.sparkSession)
+    draw = F.xxhash64(F.lit(seed), "match_id", "idx")
+    usable = points.join(sizes.select("match_id"), "match_id", "left_semi").withColumn("_draw", draw)
+    ranked = bucketed_rank(usable, ["match_id"], [F.col("_draw"), F.col("idx")], F.shiftright("_draw", 58), "_rank")
+    ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn("_part", F.floor(F.col("_rank") / PART)).drop("_draw")
+    # Points times models is far more work than the points' bytes tell, so their spread is set here.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = ranked.repartition(tasks, "match_id", "_part").checkpoint()
+    max_models, done = sum(rounds), 0
+    pairs = F.floor(F.col("n_points") * (F.col("n_points") - 1) / 2)
+    best = sizes.select("match_id", "n_points", pairs.alias("pairs"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(
+        "struct<a:double,b:double,tx:double,ty:double>").alias("_m"))
+    for size in rounds:
+        share = F.col("n") / F.col("n_points")
+        needed = F.when(share >= 1, 1.0).when(share > 0, F.log(F.lit(1 - CONFIDENCE)) / F.log1p(-share * share))
+        needed = F.least(F.coalesce(needed, F.lit(float(max_models))), F.col("pairs"))
+        open_ = best.where(needed > done)
+        if done and open_.isEmpty():
+            break
+        number = F.explode(F.sequence(F.lit(done), F.lit(done + size - 1)).cast("array<bigint>")).alias("model")
+        drawn = open_.select("match_id", "n_points", "pairs", number)
+        # Where all pairs are taken there are no more models than pairs.
+        models = _models(ranked, drawn.where((F.col("pairs") > max_models) | (F.col("model") < F.col("pairs"))), seed, max_models)
+        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_points") - 1) / PART))).alias("_part")
+        models = models.select("*", parts)
+        votes = ranked.join(models, ["match_id", "_part"]).where(_residual2("") <= limit).groupBy("match_id", "model").agg(
+            F.count("*").alias("n"), *[F.first(c).alias(c) for c in MODEL]
+        )
+        found = votes.groupBy("match_id").agg(
+            F.max("n").alias("_n"), F.max_by(F.struct(*MODEL), F.struct("n", (-F.col("model")).alias("m"))).alias("_found")
+        )
+        better = F.coalesce(F.col("_n") > F.col("n"), F.lit(False))
+        best = best.join(found, "match_id", "left").select(
+            "match_id", "n_points", "pairs", F.when(better, F.col("_n")).otherwise(F.col("n")).alias("n"),
+            F.when(better, F.col("_found")).otherwise(F.col("_m")).alias("_m"),
+        ).checkpoint()
+        done += size
+    return best.where("_m IS NOT NULL").select("match_id", "_m.*")
+
+
 def _residual2(m: str) -> Column:
     a, b, tx, ty = (F.col(f"{m}{c}") for c in ("a", "b", "tx", "ty"))
     ex = a * F.col("x0") - b * F.col("y0") + tx - F.col("x1")
@@ -54,7 +111,7 @@ def _residual2(m: str) -> Column:
 
 
 def fit_similarity(
-    points: DataFrame, threshold: float = THRESHOLD_PX, n_models: int = MODELS, seed: int = SEED
+    points: DataFrame, threshold: float = THRESHOLD_PX, seed: int = SEED, rounds: Sequence[int] = ROUNDS
 ) -> DataFrame:
     """match_id, a00..a12, n_inliers, n_points; `points` has match_id, idx, x0, y0, x1, y1.
 
@@ -62,14 +119,7 @@ def fit_similarity(
     """
     limit = F.lit(threshold * threshold)
     sizes = points.groupBy("match_id").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= MIN_POINTS)
-    models = _models(points.join(sizes, "match_id", "left_semi"), n_models, seed)
-    tried = points.join(models, "match_id").where(_residual2("") <= limit)
-    votes = tried.groupBy("match_id", "model").agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("a", "b", "tx", "ty")]
-    )
-    best = votes.groupBy("match_id").agg(
-        F.max_by(F.struct("a", "b", "tx", "ty"), F.struct("n", (-F.col("model")).alias("m"))).alias("_m")
-    ).select("match_id", "_m.*")
+    best = _best_models(points, sizes, limit, seed, rounds)
     inliers = points.join(best, "match_id").where(_residual2("") <= limit)
     sums = inliers.groupBy("match_id").agg(
         F.count("*").alias("n_inliers"),

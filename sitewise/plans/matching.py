@@ -297,6 +297,25 @@ def similarity_fit(i: Inputs):
     return f.select("match_id", *[F.round(F.round(c, 4) + 0.0, 4).alias(c) for c in registration.AFFINE], "n_inliers", "n_points")
 
 
+@query("similarity_fit_shares", sql=f"""WITH t AS (SELECT vec_id AS match_id, CAST({_SCALE} AS DOUBLE) AS s, CAST({_ANGLE} AS DOUBLE) AS a FROM embeddings)
+    SELECT match_id, round(s * cos(a), 4) AS a00, round(s * sin(a), 4) AS a10, CAST(5 + match_id % 24 AS BIGINT) AS n_inliers, CAST(32 AS BIGINT) AS n_points FROM t""")
+def similarity_fit_shares(i: Inputs):
+    """Matches whose inliers are 5 to 28 of 32 points; the others are moved by hash, 424 px at least."""
+    p = _keypoints(i).where("idx < 32").drop("x1", "y1").join(
+        i.table("embeddings").select(
+            F.col("vec_id").alias("match_id"), F.expr(f"CAST({_ANGLE} AS DOUBLE)").alias("t"), F.expr(f"CAST({_SCALE} AS DOUBLE)").alias("s")
+        ), "match_id",
+    )
+    a, b = F.col("s") * F.cos("t"), F.col("s") * F.sin("t")
+    moved = lambda k: F.when(F.col("idx") < 5 + F.col("match_id") % 24, 0).otherwise(300 + F.pmod(F.xxhash64("match_id", "idx", F.lit(k)), F.lit(2000)))
+    p = p.select(
+        "match_id", "idx", "x0", "y0", (a * F.col("x0") - b * F.col("y0") + 100 + moved(0)).alias("x1"),
+        (b * F.col("x0") + a * F.col("y0") - 50 + moved(1)).alias("y1"),
+    )
+    f = registration.fit_similarity(p)
+    return f.select("match_id", *[F.round(F.round(c, 4) + 0.0, 4).alias(c) for c in ("a00", "a10")], "n_inliers", "n_points")
+
+
 @query("quadrant_coverage", sql="""WITH
     p AS (SELECT vec_id AS match_id, embedding[2 * k + 1]::DOUBLE * 1000 + 200 AS x, embedding[2 * k + 2]::DOUBLE * 1000 + 200 AS y FROM embeddings, (SELECT unnest(range(0, 32)) AS k))
     SELECT match_id, CAST(count(DISTINCT CASE WHEN x >= 200 THEN 1 ELSE 0 END + CASE WHEN y >= 150 THEN 2 ELSE 0 END) AS INT) AS quadrants FROM p GROUP BY 1""")

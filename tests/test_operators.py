@@ -1,5 +1,7 @@
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,28 @@ def test_similarity_fit_recovers_a_transform(spark):
     assert [fits[0].a00, fits[0].a10] == pytest.approx([1.2, 0.5], abs=0.02)
 
 
+@pytest.mark.parametrize(("inliers", "total"), [(15, 300), (30, 300), (15, 100), (6, 12), (5, 8)])
+def test_similarity_fit_finds_few_inliers(spark, inliers, total):
+    rng, rows, truth = random.Random(total + inliers), [], {}
+    for m in range(200):
+        scale, turn, tx, ty = rng.uniform(0.5, 2), rng.uniform(-3, 3), rng.uniform(-200, 200), rng.uniform(-200, 200)
+        a, b = scale * math.cos(turn), scale * math.sin(turn)
+        truth[m] = (a, b, tx, ty)
+        for i in range(total):
+            x, y = rng.uniform(0, 1000), rng.uniform(0, 1000)
+            if i < inliers:
+                rows.append((m, i, x, y, a * x - b * y + tx + rng.gauss(0, 1), b * x + a * y + ty + rng.gauss(0, 1)))
+            else:
+                rows.append((m, i, x, y, rng.uniform(-1000, 2000), rng.uniform(-1000, 2000)))
+    frame = pd.DataFrame(rows, columns=["match_id", "idx", "x0", "y0", "x1", "y1"])
+    found = 0
+    for r in registration.fit_similarity(spark.createDataFrame(frame)).collect():
+        a, b, tx, ty = truth[r.match_id]
+        dx, dy = r.a00 * 500 + r.a01 * 500 + r.a02, r.a10 * 500 + r.a11 * 500 + r.a12
+        found += math.hypot(dx - (a * 500 - b * 500 + tx), dy - (b * 500 + a * 500 + ty)) < 10
+    assert found >= 195
+
+
 def test_consensus_marks_both_ends(spark):
     rows = [(1, 1, "area", 52.0, 0.0), (1, 2, "road", 52.0040, 0.0), (1, 3, "postcode", 53.0, 0.0), (2, 4, "place", 52.0, 0.0)]
     got = {r.case_id: r for r in ranking.consensus(spark.createDataFrame(rows, "case_id int, seq int, source string, lat double, lon double")).collect()}

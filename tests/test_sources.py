@@ -145,6 +145,20 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "sum")).count() == 2
 
 
+def test_results_keep_other_cases_and_replace_a_retried_one(spark, tmp_path):
+    schema, path = "case_id string, run string, status string, iou double", str(tmp_path / "out")
+    sinks.write_results(spark.createDataFrame([("a", "007", "crashed", None), ("b", "007", "ok", 0.4), ("c", "007", "ok", 0.5), ("a", "8", "ok", 0.1)], schema), path)
+    sinks.write_results(spark.createDataFrame([("a", "007", "ok", 0.9)], schema), path)
+    got = spark.read.schema(schema).parquet(path).collect()
+    assert sorted((r.run, r.case_id, r.status, r.iou) for r in got) == [
+        ("007", "a", "ok", 0.9), ("007", "b", "ok", 0.4), ("007", "c", "ok", 0.5), ("8", "a", "ok", 0.1),
+    ]
+    sinks.write_results(spark.createDataFrame([("d", "8", "late")], "case_id string, run string, note string"), path)
+    got = spark.read.schema(schema + ", note string").parquet(path).where("run = '8'").collect()
+    assert sorted((r.case_id, r.status, r.note) for r in got) == [("a", "ok", None), ("d", None, "late")]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_report_sections_skip_what_is_missing(spark):
     labels = spark.createDataFrame([("a", " White", "Good?", "easy"), ("b", "yellow", "bad", "Hard")], "folder string, colour string, quality string, complexity string")
     scores = spark.createDataFrame([("a", 0.9), ("b", None)], "folder string, iou double")
