@@ -20,7 +20,7 @@ from sitewise.session import checkpoint_dir
 THRESHOLD_PX = 10.0
 MIN_POINTS = 4
 MAX_MODELS = 2000
-ROUNDS = (64, 192, 512, 1232)  # models per round, MAX_MODELS in all
+ROUNDS = (16, 48, 192, 512, 1232)  # models per round, MAX_MODELS in all
 CONFIDENCE = 0.999
 PART = 1024  # points of a match that are tried together; a match of many points is many parts
 SEED = 42
