@@ -15,12 +15,13 @@ from sitewise.llm.common import settle
 from sitewise.llm.components import components
 
 SEED = 7_919
+BAND = 2.0  # width of a split's band, in deviations of what the longest link spans along it
 
 
 @dataclass(frozen=True)
 class Forest:
     """cosine: least cosine of a link. trees, leaf, spill: number of trees, vectors a leaf aims at,
-    and the share of a node's vectors that go to both sides of its split. sample: vectors the
+    and the least share of a node's vectors that go to both sides of its split. sample: vectors the
     splits are fitted on, at most. block: rows of a leaf that one task compares with as many."""
 
     cosine: float = 0.98
@@ -43,17 +44,40 @@ class Split:
     number: int
 
 
-def fit_tree(sample: np.ndarray, leaf: float, spill: float, random: np.random.Generator, numbers: Iterator[int]) -> Split:
-    """Random splits at the median until a node has fewer sampled vectors than `leaf`, or all of them spill."""
+def _cut(at: np.ndarray, spill: float, width: float) -> tuple[float, float, float]:
+    """(low, high, cost) of the cut with the least comparing work: squares of both sides by that of the node.
+
+    What lies between low and high goes to both sides: the share `spill` at least, and all within
+    `width` of each other. Cuts beside a dense group are cheaper than through it.
+    """
+    at, n = np.sort(at), len(at)
+    middle = np.linspace(0.1, 0.9, 33)
+    middle = middle[np.argsort(np.abs(middle - 0.5), kind="stable")]  # the median wins ties
+    centre = np.quantile(at, middle)
+    low = np.minimum(np.quantile(at, np.maximum(middle - spill / 2, 0.0)), centre - width / 2)
+    high = np.maximum(np.quantile(at, np.minimum(middle + spill / 2, 1.0)), centre + width / 2)
+    left, right = np.searchsorted(at, high, "right") / n, 1 - np.searchsorted(at, low, "left") / n
+    cost = left**2 + right**2
+    best = int(np.argmin(cost))
+    return float(low[best]), float(high[best]), float(cost[best])
+
+
+def fit_tree(sample: np.ndarray, leaf: float, spill: float, width: float, random: np.random.Generator, numbers: Iterator[int]) -> Split:
+    """Random splits until a node has fewer sampled vectors than `leaf`, or no cut saves work.
+
+    width: of the band that goes to both sides at least. A group of vectors that are all linked is
+    hardly wider than it, so such a group stays one leaf, however large.
+    """
     if len(sample) >= max(leaf, 16):
         direction = random.standard_normal(sample.shape[1])
         direction /= np.linalg.norm(direction)
         at = sample @ direction
-        low, high = np.quantile(at, [0.5 - spill / 2, 0.5 + spill / 2])
+        low, high, cost = _cut(at, spill, width)
         left, right = sample[at <= high], sample[at >= low]
-        if max(len(left), len(right)) < 0.9 * len(sample):
+        if cost < 0.9:
             return Split(
-                direction, low, high, fit_tree(left, leaf, spill, random, numbers), fit_tree(right, leaf, spill, random, numbers), -1
+                direction, low, high, fit_tree(left, leaf, spill, width, random, numbers),
+                fit_tree(right, leaf, spill, width, random, numbers), -1,
             )
     return Split(None, 0.0, 0.0, None, None, next(numbers))
 
@@ -80,12 +104,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def fit_forest(sample: np.ndarray, expected: float, rule: Forest) -> list[Split]:
-    """expected: vectors of the largest label; leaves shrink on the sample as the sample does against all."""
+    """expected: vectors of the largest label; leaves shrink on the sample as the sample does against all.
+
+    Along a random direction the ends of the longest link lie apart by its length times a deviate of
+    variance 1 by the number of components, whatever the vectors; the band is BAND such deviates wide.
+    """
     leaf = rule.leaf * len(sample) / max(expected, 1.0)
+    width = BAND * np.sqrt(max(2 * (1 - rule.cosine), 0.0) / sample.shape[1])
     out, first = [], 0
     for t in range(rule.trees):
         numbers = iter(range(first, 1 << 60))
-        out.append(fit_tree(sample, leaf, rule.spill, np.random.default_rng((SEED, t)), numbers))
+        out.append(fit_tree(sample, leaf, rule.spill, width, np.random.default_rng((SEED, t)), numbers))
         first = next(numbers)
     return out
 
@@ -97,30 +126,46 @@ def _local_links(ids: np.ndarray, unit: np.ndarray, weight: np.ndarray, leaves:
     """
     n = len(ids)
     links, least = np.zeros(n, np.int64), ids.copy()
-    us, vs = [], []
+    bits = _earlier(leaves, here)
+    same = len(left) == len(right) and bool((left == right).all())  # a block with itself
+    us, vs = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
         close = unit[rows] @ unit[right].T >= rule.cosine
-        i, j = np.nonzero(close)
-        us.append(rows[i])
-        vs.append(right[j])
-    u, v = np.concatenate([np.empty(0, np.int64), *us]), np.concatenate([np.empty(0, np.int64), *vs])
-    u, v = np.minimum(u, v), np.maximum(u, v)
-    u, v = u[u < v], v[u < v]
-    if len(u):
-        u, v = np.unique(np.stack([u, v]), axis=1)
-        own = np.fromiter((min(leaves[a] & leaves[b]) == here for a, b in zip(u.tolist(), v.tolist(), strict=True)), bool, len(u))
-        np.add.at(links, u[own], weight[v[own]])
-        np.add.at(links, v[own], weight[u[own]])
-        while True:
-            before = least.copy()
-            np.minimum.at(least, u, least[v])
-            np.minimum.at(least, v, least[u])
-            if (before == least).all():
-                break
+        i, j = np.nonzero(np.triu(close, at + 1) if same else close)
+        u, v = rows[i], right[j]
+        own = np.ones(len(u), bool)
+        for word in bits:
+            own &= (word[u] & word[v]) == 0
+        for a, b in ((u[own], v[own]), (v[own], u[own])):
+            np.add.at(links, a, weight[b])
+        us.append(u.astype(np.int32))
+        vs.append(v.astype(np.int32))
+    u, v = np.concatenate(us), np.concatenate(vs)
+    while len(u):
+        before = least.copy()
+        np.minimum.at(least, u, least[v])
+        np.minimum.at(least, v, least[u])
+        if (before == least).all():
+            break
     return links, least
 
 
+def _earlier(leaves: list[frozenset], here: int) -> list[np.ndarray]:
+    """Bit sets, 64 leaves a word, of the leaves numbered below `here` that each vector is in, where two are in one."""
+    seen: dict[int, list[int]] = {}
+    for i, own in enumerate(leaves):
+        for number in own:
+            if number < here:
+                seen.setdefault(number, []).append(i)
+    out: list[np.ndarray] = []
+    for k, rows in enumerate(x for x in seen.values() if len(x) > 1):
+        if k % 64 == 0:
+            out.append(np.zeros(len(leaves), np.uint64))
+        out[-1][rows] |= np.uint64(1 << (k % 64))
+    return out
+
+
 def link(vectors: DataFrame, rule: Forest = Forest(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
