@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.llm import minhash, mixing, packing, rules, toxicity
-from sitewise.llm.common import fresh, n_words, settle, table
+from sitewise.llm.common import n_words, settle, table
 from sitewise.llm.queries import tokenizer_file
 
 
@@ -28,17 +28,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: repeats are rows, documents that it doesn't take go."""
-    columns = docs.columns
-    mixed = mixing.mix(docs, n_words(F.col("text"))).where("repeats > 0")
-    (again,) = fresh(mixed, "_again")
-    return mixed.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*columns)
+    """Documents as often as the mix takes them, each time with its training position, sorted by it; documents that it doesn't take go."""
+    columns = [c for c in docs.columns if c.lower() != "position"]
+    return mixing.training_order(mixing.mix(docs, n_words(F.col("text")))).select(*columns, "position")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of at most 2048."""
-    out = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Pieces of the documents' ids in sequences of at most 2048, with the training position of each."""
+    out = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), carry=("position",))
+    return out.select("doc_id", "position", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [

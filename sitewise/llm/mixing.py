@@ -87,9 +87,9 @@ def mix(
 
     A source repeats whole passes over its documents and then, in hash order, those whose middle
     lies before the words still wanted: the words taken miss the target by half of one document at
-    most, and no document is taken more than `cap` times. position (0 to 1) is the training time at
-    which the source's cumulative demand reaches the middle of the document's first pass; null for
-    a document that isn't taken. Documents without words count 0 and follow the same rule. Null
+    most, and no document is taken more than `cap` times. positions (0 to 1) are the training times, one
+    for each time the document is taken, at which the source's cumulative demand reaches its middle
+    in that pass; none for a document that isn't taken. Documents without words count 0 and follow the same rule. Null
     sources are one source. Equal rows may swap. Input columns of these names are replaced; an
     empty table gives no rows. Running totals go through hash prefixes of a source, so a source
     with a third of all rows is spread over 2^12 windows.
@@ -132,6 +132,6 @@ def mix(
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """The taken documents, one row for each time they are taken, range-sorted by position."""
+    """The taken documents, one row for each time they are taken, range-sorted by position (a column)."""
     taken = mixed.where("repeats > 0").withColumn("position", F.explode("positions"))
     return taken.drop("positions").orderBy("position")

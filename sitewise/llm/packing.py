@@ -50,15 +50,17 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """id_col, piece, start, length, ids_crc32 and, if wanted, ids of every piece of every document.
+    """id_col, piece, start, length, ids_crc32, the columns `carry` and, if wanted, ids of every piece of every document.
 
     A text is its ids and then END_ID; null counts as empty, so it has one piece with END_ID alone.
     Strings that look like special tokens are ordinary text. Null ids and repeated rows stay.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", ids array<int>" * with_ids
     with open(vocabulary_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary, about 2 MB
 
@@ -76,13 +78,14 @@ def token_pieces(
             columns = [batch.column(0).take(pa.array(at, pa.int64()))]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns += [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
-            names = [id_col, "piece", "start", "length", "ids_crc32"]
+            columns += [batch.column(2 + i).take(pa.array(at, pa.int64())) for i in range(len(carry))]
+            names = [id_col, "piece", "start", "length", "ids_crc32", *carry]
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *carry).mapInArrow(run, schema)
 
 
 class _Stock:
@@ -212,7 +215,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """token_pieces of docs, written to the shared folder once, and packed."""
-    return pack(settle(token_pieces(docs, vocabulary_path, capacity, id_col, text_col, with_ids)), capacity)
+    return pack(settle(token_pieces(docs, vocabulary_path, capacity, id_col, text_col, with_ids, carry)), capacity)

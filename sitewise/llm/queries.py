@@ -31,7 +31,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, n_words(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats", "positions")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Whole results where groups are large, pages are odd or documents are repeated."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from sitewise.llm import embeddings
+import corpus_pipeline
+from sitewise.llm import embeddings, mixing, queries
+from sitewise.llm.common import content_key
 
 
 def test_noisy_group_larger_than_a_leaf(spark):
@@ -20,3 +23,36 @@ def test_noisy_group_larger_than_a_leaf(spark):
     for _ in range(10):
         least = np.array([least[near].min() for near in linked])
     assert {i: got[i]["component_id"] for i in got} == dict(enumerate(least.tolist()))
+
+
+def test_positions_against_plain_integral(spark, tmp_path):
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 60))) + f" {i}", [None, "a", "b", "c"][min(i % 7, 3)]) for i in range(120)]
+    rows += [(200, None, "b"), (201, "", "empty"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    keyed = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), content_key(F.col("doc_id"), F.col("text")).alias("k")).collect()
+    got = {x["doc_id"]: x for x in queries.op4_mixing(spark, str(tmp_path)).collect()}
+
+    grid = np.linspace(0, 1, 20_001)  # holds every knot, so trapezoids are exact
+    for i, source in enumerate(["a", "b", "c", "empty", None]):
+        weight = np.interp(grid, *zip(*mixing.SCHEDULES[i % 3], strict=True))
+        demand = np.concatenate([[0.0], np.cumsum((weight[1:] + weight[:-1]) / 2) * (grid[1] - grid[0])])
+        before, total = 0, sum(len(x["text"].split()) for x in keyed if x["source"] == source)
+        for x in sorted((x for x in keyed if x["source"] == source), key=lambda x: x["k"]):
+            size, g = len(x["text"].split()), got[x["doc_id"]]
+            wanted = [min((n * total + before + size / 2) / g["target"], 1.0) for n in range(g["repeats"])]
+            assert len(g["positions"]) == g["repeats"]
+            assert np.allclose(g["positions"], np.interp(np.array(wanted) * demand[-1], demand, grid), atol=1e-6)
+            before += size
+
+    taken = corpus_pipeline.mixed_sources(spark, docs, str(tmp_path)).collect()
+    assert taken == sorted(taken, key=lambda x: x["position"])
+    want = sorted((p, str(x["doc_id"])) for x in got.values() for p in x["positions"])
+    assert sorted((x["position"], str(x["doc_id"])) for x in taken) == want and len(want) > 60
+
+
+def test_position_reaches_the_packed_pieces(spark):
+    docs = spark.createDataFrame([(1, "one two", 0.25), (1, "one two", 0.75), (2, None, 0.5)], "doc_id long, text string, position double")
+    got = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sorted((x["doc_id"], x["position"]) for x in got) == [(1, 0.25), (1, 0.75), (2, 0.5)]
