@@ -16,7 +16,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var wbr".split()
 )
-UNSEEN = "script style noscript template textarea select button iframe object svg math canvas head".split()
+UNSEEN = frozenset("script style noscript template textarea select button iframe object svg math canvas title".split())
+CODE = frozenset("script style".split())  # without an end tag these run to the end of the page
+DRAWN = frozenset("svg math".split())  # a slash at the end of the start tag closes these
 CONTAINERS = frozenset(
     "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split()
 )
@@ -31,11 +33,11 @@ NOTICE = re.compile(r"(?i)©|copyright|all rights reserved|cookies?\b|subscribe|
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<unseen>" + "|".join(UNSEEN) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=unseen)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in UNSEEN}
 _NAMED = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "role", "inside", "page_has_main", "notice")
@@ -116,11 +118,27 @@ def _role(name: str, attrs: str, inside: int) -> int:
     return found
 
 
+def _past(page: str, name: str, attrs: str, at: int, open_ended: set[str]) -> int:
+    """Where reading goes on after the start tag, which ends at `at`, of an element that is never text.
+
+    open_ended: names with no end tag from here on, so that each is sought in vain once a page.
+    """
+    if name in DRAWN and attrs.endswith("/"):
+        return at
+    end = None if name in open_ended else _END[name].search(page, at)
+    if end:
+        return end.end()
+    open_ended.add(name)
+    return len(page) if name in CODE else at
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, share of words in links, role, inside) of the page's text blocks, in order.
 
-    Elements that are never text are skipped with their content; a missing end tag ends with the
-    element around it, and an article ends unclosed page furniture before it.
+    Elements that are never text are skipped with their content, or the tag alone where the end tag
+    is missing (script and style run to the end of the page, as in browsers). A head is no more than
+    its elements, so one without an end tag hides nothing after them. Otherwise a missing end tag ends
+    with the element around it, and an article ends unclosed page furniture before it.
     """
     out, parts, stack = [], [], []  # stack: (name, role, inside)
     role = inside = in_link = link_words = 0
@@ -141,17 +159,19 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         if in_link:
             link_words += len(text.split())
 
-    at = 0
-    for tag in _TAG.finditer(page):
+    at, open_ended = 0, set()
+    while tag := _TAG.search(page, at):
         if tag.start() > at:
             add(page[at : tag.start()])
         at = tag.end()
         name = tag["name"]
         if name is None:
-            if tag["unseen"]:
-                close()
             continue
         name = name.lower()
+        if name in UNSEEN and not tag["end"]:
+            close()
+            at = _past(page, name, tag["attrs"], at, open_ended)
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = 0 if tag["end"] else 1

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitewise.llm import embeddings, mixing, queries
+from sitewise.llm import embeddings, html, mixing, queries
 from sitewise.llm.common import content_key
 
 
@@ -56,3 +56,21 @@ def test_position_reaches_the_packed_pieces(spark):
     docs = spark.createDataFrame([(1, "one two", 0.25), (1, "one two", 0.75), (2, None, 0.5)], "doc_id long, text string, position double")
     got = corpus_pipeline.packed(spark, docs, "").collect()
     assert sorted((x["doc_id"], x["position"]) for x in got) == [(1, 0.25), (1, 0.75), (2, 0.5)]
+
+
+def test_unseen_elements_hide_no_text_after_them(spark):
+    a, b = "alpha " * 30, "omega " * 30
+    pages = {
+        f"<head><title>t</title><meta charset=utf-8><style>p{{}}</style><body><p>{a}</p></body>": a,
+        f"<head><title>t</title><p>{a}</p>": a,
+        f"<head><title>t</title><script>var x;</script></head><p>{a}</p>": a,
+        f"<article><p>{a}</p><svg viewBox='0 0 1 1'/><p>{b}</p></article>": a + b,
+        f"<article><p>{a}</p><math/><p>{b}</p><math><mi>x</mi></math></article>": a + b,
+        f"<article><p>{a}</p><svg /><p>{b}</p><svg><text>x</text></svg></article>": a + b,
+        f"<article><p>{a}</p><button><p>{b}</p></article>": a + b,
+        f"<article><p>{a}</p><button>x</button><button-bar></button-bar><p>{b}</p></article>": a + b,
+        f"<article><p>{a}</p></article><script>var text = '{b}'": a,
+    }
+    table = spark.createDataFrame([(i, "u", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(table).collect()}
+    assert got == {i: text.strip() for i, text in enumerate(pages.values())}
