@@ -27,10 +27,12 @@ FLUSH = 400_000  # terms a task counts before it hands them on
 
 @dataclass(frozen=True)
 class Voting:
-    """voters: most voters kept; support: labelled rows a term needs; z: least standard score of its
-    excess among toxic rows; overlap: share of common votes from which a stem repeats a better one."""
+    """voters: most voters kept; pool: distinct terms looked at for each of them; support: labelled rows
+    a term needs; z: least standard score of its excess among toxic rows; overlap: share of common
+    votes from which a stem repeats a better one."""
 
     voters: int = 256
+    pool: int = 4
     support: int = 8
     z: float = 6.0
     overlap: float = 0.98
@@ -172,7 +174,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.95, round
 
 
 def learn(docs: DataFrame, labels: DataFrame, rule: Voting = Voting(), id_col: str = "doc_id", text_col: str = "text", target: str = "toxic") -> Model:
-    """The voters with the highest standard score in the learning folds, judged together by the
+    """The voters with the highest standard score in the learning folds, of different terms first, judged together by the
     label model, whose posteriors teach the classifier. Without labelled rows, or with one class
     only, there are no voters and the score is the same for all texts."""
     rows = settle(learning_rows(docs, labels, target, id_col=id_col, text_col=text_col))
@@ -184,14 +186,17 @@ def learn(docs: DataFrame, labels: DataFrame, rule: Voting = Voting(), id_col: s
     p = (F.col("n1") + F.col("n0")) / n
     score = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p + 1 / n) * (1 / n1 + 1 / n0))
     best = _term_table(rows).where(F.col("n1") >= rule.support).withColumn("z", score).where(F.col("z") >= rule.z)
-    best = best.orderBy(F.desc("z"), "term", "level").limit(4 * rule.voters).collect()
-    candidates = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in best))}
+    # Terms are bounded, not (term, level): a term's levels, six at most, never take the place of another term.
+    terms = best.groupBy("term").agg(F.max("z").alias("z"), F.sort_array(F.collect_list(F.struct((-F.col("z")).alias("z"), "level"))).alias("levels"))
+    found = terms.orderBy(F.desc("z"), "term").limit(rule.pool * rule.voters).collect()
+    candidates = {r["term"]: i for i, r in enumerate(found)}
+    best = sorted((place, x["z"], r["term"], x["level"]) for r in found for place, x in enumerate(r["levels"]))
     counts, words, y = _count_matrix(rows, candidates)
     kept, columns = [], []
-    for r in best:
-        vote = speaks(counts[:, candidates[r["term"]]], words, r["level"])
+    for _, _, term, level in best:  # every term's best level first
+        vote = speaks(counts[:, candidates[term]], words, level)
         if all((vote & c).sum() < rule.overlap * (vote | c).sum() for c in columns):
-            kept.append(r)
+            kept.append(term)
             columns.append(vote)
         if len(kept) == rule.voters:
             break
@@ -199,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, rule: Voting = Voting(), id_col: s
         return Model({}, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
     votes = np.stack(columns, axis=1)
     posterior, _ = label_model(votes, y)
-    terms = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in kept))}
+    terms = {t: i for i, t in enumerate(dict.fromkeys(kept))}
     w = fit_logistic(inputs(counts[:, [candidates[t] for t in terms]], words), posterior)
     return Model(terms, w[:-1], float(w[-1]))
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitewise.llm import embeddings, html, mixing, queries
+from sitewise.llm import embeddings, html, mixing, queries, toxicity
 from sitewise.llm.common import content_key
 
 
@@ -74,3 +74,20 @@ def test_unseen_elements_hide_no_text_after_them(spark):
     table = spark.createDataFrame([(i, "u", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html.extract(table).collect()}
     assert got == {i: text.strip() for i, text in enumerate(pages.values())}
+
+
+def test_a_strong_word_leaves_room_for_another(spark):
+    r = np.random.default_rng(6)
+    texts, labels = [], []
+    for i in range(400):
+        words = [f"w{x}" for x in r.integers(0, 300, 120)]
+        bad = "vileness" if i % 5 == 0 else "nasty" if i % 10 == 1 else None
+        if bad:
+            words[5] = words[50] = words[90] = bad
+        texts.append((i, " ".join(words)))
+        labels.append((i, int(bad is not None)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, truth, toxicity.Voting(voters=2))
+    assert len(model.terms) == 2 and any("nast" in t for t in model.terms) and any("vile" in t for t in model.terms)
+    assert all(x["predicted"] == labels[x["doc_id"]][1] for x in toxicity.score(docs, model).collect())
