@@ -27,7 +27,7 @@ def write_results(results: DataFrame, path: str) -> None:
     """One row per run and case, failures included; a later row replaces the earlier one of its case only.
 
     Partitioned by run. Cases that `results` doesn't name stay as they are, and runs that it doesn't
-    name aren't read. The merged runs are first written whole beside the table, so a job that dies
+    name aren't read. Null is a run, or a case, like any other. The merged runs are first written whole beside the table, so a job that dies
     while they are put in place can be run again. Columns may come and go between calls (null where
     absent). Rows that share run and case within one call are one case: the greatest by hash stays.
     """
@@ -38,7 +38,11 @@ def write_results(results: DataFrame, path: str) -> None:
     if _exists(spark, path):
         extra = [f for f in spark.read.parquet(path).schema if f.name not in results.columns]
         old = spark.read.schema(StructType([*results.schema.fields, *extra])).parquet(path)
-        old = old.join(results.select("run").distinct(), "run", "left_semi").join(new.select(*keys), keys, "left_anti")
+        # Two joins, as a null-safe one would read every run's partition.
+        nameless = old.where("run is null").join(results.where("run is null").select("run").limit(1).withColumnRenamed("run", "_run"), F.lit(True), "left_semi")
+        old = old.join(results.select("run").distinct(), "run", "left_semi").unionByName(nameless)
+        named = new.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        old = old.join(named, F.col("run").eqNullSafe(F.col("_run")) & F.col("case_id").eqNullSafe(F.col("_case_id")), "left_anti")
         new = old.unionByName(new, allowMissingColumns=True)
     new.write.partitionBy("run").parquet(staged)
     merged = spark.read.schema(new.schema).parquet(staged)

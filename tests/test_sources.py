@@ -159,6 +159,17 @@ def test_results_keep_other_cases_and_replace_a_retried_one(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
 
 
+def test_results_without_run_or_case_are_kept_once(spark, tmp_path):
+    schema, path = "case_id string, run string, iou double", str(tmp_path / "out")
+    sinks.write_results(spark.createDataFrame([("a", None, 0.1), ("b", None, 0.2), (None, None, 0.3), (None, "r", 0.4), ("c", "r", 0.5), ("d", "s", 0.6)], schema), path)
+    sinks.write_results(spark.createDataFrame([("a", None, 0.9), (None, None, 0.8), (None, "r", 0.7)], schema), path)
+    got = {(str(r.run), str(r.case_id), r.iou) for r in spark.read.schema(schema).parquet(path).collect()}
+    want = {("None", "a", 0.9), ("None", "b", 0.2), ("None", "None", 0.8), ("r", "None", 0.7), ("r", "c", 0.5), ("s", "d", 0.6)}
+    assert got == want and spark.read.parquet(path).count() == len(want)
+    sinks.write_results(spark.createDataFrame([("e", "s", 1.0)], schema), path)
+    assert spark.read.parquet(path).count() == len(want) + 1
+
+
 def test_report_sections_skip_what_is_missing(spark):
     labels = spark.createDataFrame([("a", " White", "Good?", "easy"), ("b", "yellow", "bad", "Hard")], "folder string, colour string, quality string, complexity string")
     scores = spark.createDataFrame([("a", 0.9), ("b", None)], "folder string, iou double")
