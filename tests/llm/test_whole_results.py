@@ -91,3 +91,29 @@ def test_a_strong_word_leaves_room_for_another(spark):
     model = toxicity.learn(docs, truth, toxicity.Voting(voters=2))
     assert len(model.terms) == 2 and any("nast" in t for t in model.terms) and any("vile" in t for t in model.terms)
     assert all(x["predicted"] == labels[x["doc_id"]][1] for x in toxicity.score(docs, model).collect())
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    r = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 500, 60)) for _ in range(20)]
+    texts += [f"{t} tail" for t in texts[:6]] + [f"{t} " + "x y z " * 9 for t in texts[6:9]] + [texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    least = list(range(len(sets)))
+    for _ in sets:
+        for a, left in enumerate(sets):
+            for b, right in enumerate(sets):
+                if 10 * len(left & right) >= 8 * len(left | right):
+                    least[a] = least[b] = min(least[a], least[b])
+    got = {x["doc_id"] for x in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert got == set(least) and len(got) < len(texts)
+
+
+def test_sharding_query_balances_bytes(spark, tmp_path):
+    rows = [(i, "é" * (i % 50)) for i in range(2000)]
+    spark.createDataFrame([*rows, (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_sharding(spark, str(tmp_path)).collect()
+    sizes = {x["doc_id"]: x["size"] for x in got}
+    assert len(got) == 2001 and sizes == {None: 1} | {i: len(t.encode()) + 1 for i, t in rows}
+    held = [sum(x["size"] for x in got if x["shard"] == k) for k in range(16)]
+    assert max(held) - min(held) <= 2 * max(sizes.values())
