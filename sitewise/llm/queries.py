@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import embeddings, html, merkle, minhash, mixing, packing, phrases, quality, rules, shards, tokens, toxicity
+from sitewise.llm import embeddings, html, merkle, minhash, mixing, packing, phrases, quality, rules, secrets, shards, tokens, toxicity
 from sitewise.llm.common import content_key, n_words, table
 
 OP3 = minhash.NearDup(words=3, percent=85)
@@ -87,11 +87,16 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest_columns(secrets.find_secrets(docs, tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_html_extraction, op2_quality_rules, op3_minhash_dedup, op4_mixing, op5_sharding, op6_best_fit_packing,
         op7_token_counts, op8_embedding_dedup, op9_toxicity, op10_quality_classifier,
-        op11_merkle_manifest, op12_phrase_collocations,
+        op11_merkle_manifest, op12_phrase_collocations, op13_secret_scan,
     )
 }
 ORACLES: dict[str, str] = {}
