@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import embeddings, html, merkle, minhash, mixing, packing, phrases, quality, rules, secrets, shards, tokens, toxicity
+from sitewise.llm import embeddings, html, merkle, minhash, mixing, oracles, packing, phrases, quality, rules, secrets, shards, tokens, toxicity
 from sitewise.llm.common import content_key, n_words, table
 
 OP3 = minhash.NearDup(words=3, percent=85)
@@ -99,4 +99,6 @@ QUERIES = {
         op11_merkle_manifest, op12_phrase_collocations, op13_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": oracles.MERKLE, "op12_phrase_collocations": oracles.PHRASES,
+}
