@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import settle
+from sitewise.llm.common import forget, settle
 
 LONGEST = 5  # words of a top-order window, and of the longest phrase
 WORDS = tuple(f"w{i}" for i in range(1, LONGEST + 1))
@@ -25,8 +25,8 @@ MULTIPLIERS = np.random.default_rng(12).integers(0, 1 << 63, 4, np.uint64) * np.
 
 @dataclass(frozen=True)
 class Mining:
-    """least: occurrences that a phrase needs (at most 255); top: phrases returned per language; bits: the pre-count
-    has 2^bits buckets for words and as many for pairs of words, whatever the size of the corpus."""
+    """least: occurrences that a phrase needs (at most 255); top: phrases returned per language; bits: the pre-counts
+    have 2^bits buckets for words, for pairs, and for longer runs, whatever the size of the corpus."""
 
     least: int = 100
     top: int = 2000
@@ -68,33 +68,60 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, dict[st
         yield known, {k: np.array(v, np.int64) for k, v in held.items() if v}
 
 
-def _buckets(known: _Words, lang: str, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word, and of each word with the next one; the last one's pair is meaningless."""
-    own = np.array(known.hashes, np.uint64)[numbers] ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
-    after = np.append(own[1:], own[-1:])
-    shift = np.uint64(64 - bits)
-    pair = own * MULTIPLIERS[1] + (after ^ (after >> np.uint64(31))) * MULTIPLIERS[2]
-    return (own * MULTIPLIERS[0]) >> shift, ((pair ^ (pair >> np.uint64(29))) * MULTIPLIERS[3]) >> shift
-
-
-def _filter(docs: DataFrame, rule: Mining) -> tuple[DataFrame, DataFrame]:
-    """(parts of the filter, words per language) in one pass over docs (lang, text).
+def _runs(known: _Words, lang: str, numbers: np.ndarray, tables: list[np.ndarray], bits: int, upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k from 1 to upto: k, the places where k words may be a part of a frequent phrase, and their buckets.
 
-    A part says which of its PART buckets hold at least rule.least occurrences, words and pairs
-    apart. A word or pair in a smaller bucket is rare for certain; a rare one in a larger bucket
-    costs work only. A task counts up to 255 and stops there, so its counts have a fixed size.
+    tables[k - 1], where given, has a bit for each bucket that k words need; longer runs need both
+    of their shorter ones. Words of different pieces are never neighbours.
+    """
+    own = np.array(known.hashes, np.uint64)[numbers] ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+    hashes, at, shift = own, np.flatnonzero(numbers > 0), np.uint64(64 - bits)
+    for k in range(1, upto + 1):
+        if k > 1:
+            open_ = np.zeros(len(numbers) + 1, bool)
+            open_[at] = True
+            at = at[open_[at + 1]]
+            mixed = hashes[at] * MULTIPLIERS[0] + own[at + k - 1] * MULTIPLIERS[1]
+            hashes = hashes.copy()
+            hashes[at] = mixed ^ (mixed >> np.uint64(29))
+        buckets = (hashes[at] * MULTIPLIERS[2]) >> shift
+        if k <= len(tables):
+            table = tables[k - 1]
+            keep = (table[buckets >> np.uint64(3)] >> (np.uint64(7) - (buckets & np.uint64(7))).astype(np.uint8)) & 1 > 0
+            at, buckets = at[keep], buckets[keep]
+        yield k, at, buckets
+
+
+def _tables(bits: bytes, often: int) -> list[np.ndarray]:
+    """Bit tables for 1, 2 and so on words; the last one serves all longer runs."""
+    rows = list(np.frombuffer(bits, np.uint8).reshape(often, -1)) if often else []
+    return rows + rows[2:] * (LONGEST - 3)
+
+
+def _filter(docs: DataFrame, rule: Mining, often: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """(bit tables with the next ones added, words per language) after one pass over docs (lang, text).
+
+    The first pass counts words and pairs, the second the longer runs whose pairs were all often
+    enough, each kind in a fixed number of buckets. A run in a bucket below rule.least is rare for
+    certain; a rare one in a fuller bucket costs work only. A task counts up to 255 and stops
+    there, so what it counts, what it sends and what comes back (2^bits bits a table) have sizes
+    that don't depend on the corpus.
     """
+    have, new = len(often), 1 if len(often) else 2
+    lowest, upto = have + 1, LONGEST if have else 2
+    shared = docs.sparkSession.sparkContext.broadcast(often.tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, totals = np.zeros((2, 1 << rule.bits), np.uint8), {}
+        counts, totals = np.zeros((new, 1 << rule.bits), np.uint8), {}
+        tables = _tables(shared.value, have)
         for known, langs in _chunks(batches):
             for lang, numbers in langs.items():
-                word, pair = _buckets(known, lang, numbers, rule.bits)
-                real = numbers > 0
-                totals[lang] = totals.get(lang, 0) + int(real.sum())
-                for row, buckets in zip(counts, (word[real], pair[real & np.append(real[1:], False)]), strict=True):
-                    at, times = np.unique(buckets, return_counts=True)
-                    row[at] = np.minimum(row[at] + times, 255)
+                totals[lang] = totals.get(lang, 0) + int((numbers > 0).sum())
+                for k, _, buckets in _runs(known, lang, numbers, tables, rule.bits, upto):
+                    if k >= lowest:
+                        row = counts[min(k - lowest, new - 1)]
+                        at, times = np.unique(buckets, return_counts=True)
+                        row[at] = np.minimum(row[at] + times, 255)
         if not totals:
             return
         press, parts = zstandard.ZstdCompressor(level=1), counts.reshape(-1, PART)
@@ -129,48 +156,63 @@ def _filter(docs: DataFrame, rule: Mining) -> tuple[DataFrame, DataFrame]:
 
     both = settle(docs.mapInArrow(count, "part long, counts binary, lang string, n long"))
     parts = both.where("part is not null").select("part", "counts").repartition("part").sortWithinPartitions("part")
-    return settle(parts.mapInArrow(add, "part long, often binary")), settle(both.where("part is null").groupBy("lang").agg(F.sum("n").alias("n")))
+    found = np.zeros(((new << rule.bits) // PART, PART // 8), np.uint8)
+    for row in parts.mapInArrow(add, "part long, often binary").collect():  # 2^bits / 8 bytes a table
+        found[row["part"]] = np.frombuffer(row["often"], np.uint8)
+    totals = settle(both.where("part is null").groupBy("lang").agg(F.sum("n").alias("n")))
+    forget(both)
+    return np.vstack([often, found.reshape(new, -1)]), totals
+
+
+def _distinct(columns: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of the columns as one, their times added."""
+    keys = [columns[4], (columns[2] << 32) | columns[3], (columns[0] << 32) | columns[1]]
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= np.diff(key[order]) != 0
+    first = np.flatnonzero(new)
+    return [c[order[first]] for c in columns], np.add.reduceat(times[order], first) if len(first) else times
 
 
 def _windows(docs: DataFrame, often: np.ndarray, rule: Mining) -> DataFrame:
-    """lang, w1 .. w5, c: padded longest windows of docs (lang, text), one for each place a word may start a phrase.
+    """lang, w1 .. w5, c: padded longest windows of docs (lang, text), one for each place a frequent phrase may start.
 
-    A window goes on to the end of its piece or to the first word, or pair, that the filter knows
-    to be rare; '' pads it. Equal windows of a task are counted together.
+    A window goes on to the end of its piece, or for as long as the filter does not know its words
+    to be a rare run; '' pads it. Equal windows of a task are counted together while they are at
+    most ENOUGH.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(often.tobytes())  # 2^bits / 4 bytes: 4 MB
+    have, shared = len(often), docs.sparkSession.sparkContext.broadcast(often.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+        tables, held, last = _tables(shared.value, have), {}, None
 
-        def holds(row: int, buckets: np.ndarray) -> np.ndarray:
-            return (table[row][buckets >> np.uint64(3)] >> (np.uint64(7) - (buckets & np.uint64(7))).astype(np.uint8)) & 1 > 0
+        def batch(lang: str) -> pa.RecordBatch:
+            columns, times = held.pop(lang)
+            names = pa.array(last.names, pa.binary()).cast(pa.string())
+            words = [names.take(pa.array(c)) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(times), pa.string()), *words, pa.array(times)], ["lang", *WORDS, "c"])
 
         for known, langs in _chunks(batches):
-            names = pa.array(known.names, pa.binary()).cast(pa.string())
+            if known is not last:
+                yield from [batch(lang) for lang in list(held)]
+                last = known
             for lang, numbers in langs.items():
-                word, pair = _buckets(known, lang, numbers, rule.bits)
-                usable = (numbers > 0) & holds(0, word)
-                joined = usable & np.append(usable[1:], False) & holds(1, pair)
-                at = np.flatnonzero(usable)
-                columns, open_ = [numbers[at]], np.ones(len(at), bool)
-                padded, gone = np.append(numbers, np.zeros(LONGEST, np.int64)), np.append(joined, np.zeros(LONGEST, bool))
-                for k in range(1, LONGEST):  # lead by k
-                    open_ &= gone[at + k - 1]
-                    columns.append(np.where(open_, padded[at + k], 0))
-                keys = [columns[4], (columns[2] << 32) | columns[3], (columns[0] << 32) | columns[1]]
-                order = np.lexsort(keys)
-                new = np.ones(len(at), bool)
-                new[1:] = False
-                for key in keys:
-                    new[1:] |= np.diff(key[order]) != 0
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(at)))
-                rows = order[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(rows), pa.string()), *[names.take(pa.array(c[rows])) for c in columns], pa.array(times, pa.int64())],
-                    ["lang", *WORDS, "c"],
-                )
+                padded = np.append(numbers, np.zeros(LONGEST, np.int64))
+                length = np.zeros(len(numbers), np.int64)
+                for k, at, _ in _runs(known, lang, numbers, tables, rule.bits, LONGEST):
+                    length[at] = k
+                at = np.flatnonzero(length)
+                columns = [np.where(length[at] > k, padded[at + k], 0) for k in range(LONGEST)]  # lead by k
+                columns, times = _distinct(columns, np.ones(len(at), np.int64))
+                if lang in held:
+                    old, before = held[lang]
+                    columns, times = _distinct([np.append(a, b) for a, b in zip(old, columns, strict=True)], np.append(before, times))
+                held[lang] = columns, times
+                if len(times) > ENOUGH:
+                    yield batch(lang)
+        yield from [batch(lang) for lang in list(held)]
 
     schema = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", c long"
     return docs.mapInArrow(run, schema)
@@ -185,16 +227,14 @@ def phrase_counts(docs: DataFrame, rule: Mining = Mining(), text_col: str = "tex
     """(lang, w1 .. w5, k, phrase, f of every n-gram of up to 5 words with f >= rule.least; words n per language).
 
     Only padded longest windows are counted. ROLLUP sums them over ever shorter prefixes, and the
-    prefix of k words has the phrase's count, since a window starts wherever the phrase does. A
-    first pass drops what can be no part of a frequent phrase: it counts words and pairs in a fixed
-    number of buckets, and a window ends before a pair whose bucket is too small. All parts of a
-    frequent phrase are frequent, so no count that is returned misses an occurrence.
+    prefix of k words has the phrase's count, since a window starts wherever the phrase does. Two
+    passes before it count runs of words in a fixed number of buckets, and a window ends before
+    its words are a run whose bucket is too small. All parts of a frequent phrase are frequent,
+    so no count that is returned misses an occurrence.
     """
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    parts, totals = _filter(source, rule)
-    often = np.zeros((2 << rule.bits) // PART * (PART // 8), np.uint8).reshape(-1, PART // 8)
-    for row in parts.toLocalIterator():  # 2^bits / 4 bytes in all
-        often[row["part"]] = np.frombuffer(row["often"], np.uint8)
+    often, totals = _filter(source, rule, np.zeros((0, (1 << rule.bits) // 8), np.uint8))
+    often, _ = _filter(source, rule, often)
     windows = _windows(source, often, rule).groupBy("lang", *WORDS).agg(F.sum("c").alias("c"))
     summed = windows.rollup("lang", *WORDS).agg(F.sum("c").alias("f"), F.grouping_id().alias("g")).where(F.col("f") >= rule.least)
     # Level k has k words: the last 5 - k columns are summed away, and word k is no pad.
