@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitewise.llm import embeddings, html, merkle, minhash, mixing, oracles, packing, phrases, quality, rules, secrets, shards, tokens, toxicity
 from sitewise.llm.common import content_key, n_words, table
 
-OP3 = minhash.NearDup(words=3, percent=85)
+OP3 = minhash.NearDup(words=3, percent=85, bands=28, rows=7)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

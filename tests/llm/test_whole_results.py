@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitewise.llm import embeddings, html, mixing, queries, toxicity
+from sitewise.llm import embeddings, html, minhash, mixing, queries, toxicity
 from sitewise.llm.common import content_key
 
 
@@ -117,3 +117,36 @@ def test_sharding_query_balances_bytes(spark, tmp_path):
     assert len(got) == 2001 and sizes == {None: 1} | {i: len(t.encode()) + 1 for i, t in rows}
     held = [sum(x["size"] for x in got if x["shard"] == k) for k in range(16)]
     assert max(held) - min(held) <= 2 * max(sizes.values())
+
+
+def test_near_copies_of_one_text_that_are_far_from_each_other(spark, monkeypatch):
+    """A base text, copies at all distances from it, and chains that hang on copies rather than on the base."""
+    r = np.random.default_rng(3)
+    base = [f"b{x}" for x in range(120)]
+
+    def edited(words, n, tag):
+        out = list(words)
+        for i in r.choice(len(out), n, replace=False):
+            out[i] = f"{tag}x{i}"
+        return out
+
+    texts = [edited(base, int(n), f"c{i}") for i, n in enumerate(r.integers(1, 16, 120))]
+    texts += [base] + [edited(texts[i % 120], 2, f"d{i}") for i in range(60)]
+    texts += [edited(texts[121 + i % 60], 2, f"e{i}") for i in range(40)]
+    at = r.permutation(len(texts))
+    docs = spark.createDataFrame([(int(i), " ".join(texts[k])) for i, k in enumerate(at)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "MEMBERS", 16)
+    rule = minhash.NearDup(words=3, percent=85, bands=64, rows=4)
+    sets = [{tuple(texts[k][i : i + 3]) for i in range(len(texts[k]) - 2)} for k in at]
+    least = list(range(len(sets)))
+    for _ in range(len(sets)):
+        before = list(least)
+        for a, left in enumerate(sets):
+            for b in range(a):
+                if least[a] != least[b] and 100 * len(left & sets[b]) >= 85 * len(left | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, rule).collect()}
+    assert got == dict(enumerate(least))
+    assert 3 < len(set(least)) < 120
