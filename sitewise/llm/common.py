@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,5 +69,14 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of a bounded value, its classes with it: executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,8 +9,11 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sitewise.llm.common import ship, shipped
+
 MARK = "▁"  # fixed value: the sign that stands for the space before a word in public piece vocabularies
 NODES = 400_000  # a task's trie is started anew beyond this many nodes
+DEPTH = 64  # characters of a prefix that is kept in the trie
 
 
 @dataclass(frozen=True)
@@ -39,47 +42,64 @@ class Unigram:
         return Unigram.from_pieces([model.id_to_piece(i) for i in sorted(usable, key=lambda i: (-model.get_score(i), i))])
 
 
+def backwards(model: Unigram) -> dict:
+    """The pieces as a trie of nested dictionaries, last character first; the empty key holds a piece's score."""
+    root: dict = {}
+    for piece, score in model.scores.items():
+        node = root
+        for c in reversed(piece):
+            node = node.setdefault(c, {})
+        node[""] = score
+    return root
+
+
 class TrieCounter(dict):
-    """Pre-token -> tokens. A node of the trie is a prefix with its best score and token count.
+    """Pre-token (bytes without its mark) -> tokens; a node of the trie is [children by character, score, count].
 
     The best way to write a prefix follows from the prefixes before it, so a node is scored once,
-    when it is first reached, for all pre-tokens that begin with it. Of equal scores the last piece
-    that is longest wins.
+    when it is first reached, for all pre-tokens that begin with it; a pre-token's own count stays
+    where it ends. A new node looks for pieces that end at its character by walking back through
+    the pieces' trie until no piece goes on. Of equal scores the longest last piece wins.
     """
 
-    def __init__(self, model: Unigram) -> None:
+    def __init__(self, unknown: float, pieces: dict) -> None:
         super().__init__()
-        self.model = model
+        self.unknown, self.pieces = unknown, pieces
         self.clear_nodes()
 
     def clear_nodes(self) -> None:
         self.clear()
-        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        self.root: list = [{}, 0.0, 0]
+        self.size = 1
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, raw: bytes) -> int:
         """Walk down to the deepest prefix that is known and score onward from there."""
-        if len(self.nodes) > NODES:
+        if self.size > NODES or len(self) > NODES:
             self.clear_nodes()
-        nodes, scores, longest, unknown = self.nodes, self.model.scores, self.model.longest, self.model.unknown
-        path = [0.0] * (len(token) + 1)
-        counts = [0] * (len(token) + 1)
-        for end in range(1, len(token) + 1):
-            prefix = token[:end] if end <= 64 else None
-            known = nodes.get(prefix) if prefix is not None else None
-            if known is None:
-                single = len(token[end - 1].encode("utf-8", "surrogatepass"))
-                best, count = path[end - 1] + unknown * single, counts[end - 1] + single
-                for start in range(end - 1, max(-1, end - longest - 1), -1):
-                    score = scores.get(token[start:end])
-                    if score is not None and path[start] + score >= best:
-                        best, count = path[start] + score, counts[start] + 1
-                known = (best, count)
-                if prefix is not None:
-                    nodes[prefix] = known
-            path[end], counts[end] = known
-        if len(token) <= 64:
-            self[token] = counts[-1]  # the terminal count
-        return counts[-1]
+        token = MARK + raw.decode("utf-8", "surrogatepass")
+        node = self.root
+        path = [node]
+        for at, c in enumerate(token):
+            child = node[0].get(c)
+            if child is None:
+                single = len(c.encode("utf-8", "surrogatepass"))
+                best, count = path[at][1] + self.unknown * single, path[at][2] + single
+                piece, start = self.pieces.get(c), at
+                while piece is not None:
+                    score = piece.get("")
+                    if score is not None and path[start][1] + score >= best:
+                        best, count = path[start][1] + score, path[start][2] + 1
+                    start -= 1
+                    piece = piece.get(token[start]) if start >= 0 else None
+                child = [{}, best, count]
+                if at < DEPTH:
+                    node[0][c] = child
+                    self.size += 1
+            path.append(child)
+            node = child
+        if len(token) <= DEPTH:
+            self[raw] = node[2]
+        return node[2]
 
 
 def token_counts(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,20 +107,21 @@ def token_counts(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_c
 
     A pre-token is a word (no ASCII white space) with the mark before it. Null, empty and blank
     texts have none. Every batch of a task shares the task's trie, which is started anew when it
-    has NODES nodes, so memory is bounded; prefixes beyond 64 characters aren't shared. Nothing is
+    has NODES nodes, so memory is bounded; prefixes beyond DEPTH characters aren't shared. Nothing is
     shuffled, repeated rows and null ids stay, other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary, about 1 MB
+    shared = ship(docs.sparkSession, (model.unknown, model.scores))  # one vocabulary, about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TrieCounter(shared.value)
+        unknown, scores = shipped(shared)
+        counter = TrieCounter(unknown, backwards(Unigram(scores, unknown)))
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column(1):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 n_words.append(len(raw))
-                n_tokens.append(sum(counter[MARK + word.decode("utf-8", "surrogatepass")] for word in raw))
+                n_tokens.append(sum(map(counter.__getitem__, raw)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], [id_col, "n_pretokens", "n_tokens"]
             )
