@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from sitewise.llm.common import KEY_SQL
+from sitewise.llm.rules import CLASSES, VOCABULARY, Rules
+
 
 def _crc_table() -> list[int]:
     """CRC-32 of each half byte, from the reversed polynomial."""
@@ -100,3 +103,74 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phra
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
+
+_TEXT_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, strlen(t) + 1),
+  lambda i: [('0x' || x[2 * i])::BIGINT, ('0x' || x[2 * i - 1])::BIGINT]))),
+  lambda c, h: xor([{', '.join(map(str, _crc_table()))}][1 + (xor(c, h) & 15)], c >> 4)), 4294967295)"""
+SHARDS = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) + 1 AS size, {KEY_SQL} AS key FROM documents),
+keys AS (SELECT key, sum(size) AS b FROM docs GROUP BY key),
+placed AS (SELECT key, sum(b) OVER (ORDER BY key) - b AS before, sum(b) OVER () AS total FROM keys),
+sized AS (SELECT d.doc_id, d.size::BIGINT AS size, ({_TEXT_CRC})::BIGINT AS text_crc32, d.key, (16 * p.before // p.total)::INTEGER AS shard FROM docs d JOIN placed p ON p.key = d.key)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST, text_crc32) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM sized
+"""
+
+_SPACES = r"[\x20\x09-\x0D]+"
+_N, _W = len(CLASSES) + 1, len(VOCABULARY) + 1
+
+
+def _js(shares: str, reference: str, n: int) -> str:
+    """Jensen-Shannon distance of two lists of n shares."""
+    part = "(CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END)"
+    pairs = [(f"{shares}[{i}]", f"{reference}[{i}]") for i in range(1, n + 1)]
+    return f"sqrt(greatest(({' + '.join(part.format(p, q) + ' + ' + part.format(q, p) for p, q in pairs)}) / 2, 0))"
+
+
+def _words_in(tokens: str) -> str:
+    counts = [f"len(list_filter({tokens}, lambda y: y = '{w}'))" for w in VOCABULARY]
+    return f"[{', '.join(counts)}]"
+
+
+def _classes_in(text: str) -> str:
+    counts = [f"length({text}) - length(regexp_replace({text}, '{p}', '', 'g'))" for p in ("".join(c).replace("'", "''") for c in CLASSES.values())]
+    return f"[{', '.join(counts)}]"
+
+
+_RULES = Rules()
+RULES = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda y: y <> '') AS w FROM documents),
+counted AS (
+  SELECT *, len(w) AS n, {_classes_in('t')} AS known, {_words_in('w')} AS common,
+    list_filter(string_split(t, chr(10)), lambda y: length(regexp_replace(y, '{_SPACES}', '', 'g')) > 0) AS lines FROM docs),
+shares AS (
+  SELECT *, list_append(known, length(t) - list_sum(known)) AS classes, list_append(common, n - list_sum(common)) AS vocabulary FROM counted),
+threes AS (SELECT id, i, w[i : i + 2] AS three FROM (SELECT id, w, unnest(range(1, n - 1)) AS i FROM shares WHERE n > 2)),
+again AS (SELECT id, i FROM threes QUALIFY count(*) OVER (PARTITION BY id, three) > 1),
+covered AS (SELECT id, count(DISTINCT i + j) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
+middles AS (
+  SELECT lang, {', '.join(f'quantile_disc(classes[{i}] / length(t), 0.5) AS c{i}' for i in range(1, _N + 1))},
+    {', '.join(f'avg(vocabulary[{i}] / n) AS w{i}' for i in range(1, _W + 1))}
+  FROM shares WHERE lang IN ('en', 'de', 'fr', 'es') AND n >= 50 GROUP BY lang),
+refs AS (
+  SELECT [{', '.join(f'c{i} / (' + ' + '.join(f'c{k}' for k in range(1, _N + 1)) + ')' for i in range(1, _N + 1))}] AS rc,
+    [{', '.join(f'w{i}' for i in range(1, _W + 1))}] AS rw FROM middles),
+own AS (
+  SELECT *, list_transform(classes, lambda y: y / greatest(length(t), 1)) AS sc, list_transform(vocabulary, lambda y: y / greatest(n, 1)) AS sw FROM shares),
+apart AS (
+  SELECT id, CASE WHEN length(t) >= {_RULES.min_chars} THEN {_js('sc', 'rc', _N)} ELSE 0 END AS c,
+    CASE WHEN n >= {_RULES.min_words} THEN {_js('sw', 'rw', _W)} ELSE 0 END AS w FROM own, refs),
+near AS (SELECT id, c, w FROM apart QUALIFY row_number() OVER (PARTITION BY id ORDER BY c + w, c, w) = 1),
+judged AS (
+  SELECT o.*, coalesce(v.n_repeat_words, 0) AS n_repeat_words, coalesce(a.c, 0)::DOUBLE AS dc, coalesce(a.w, 0)::DOUBLE AS dw,
+    n < 50 OR 100 * coalesce(v.n_repeat_words, 0) > 50 * n AS failed
+  FROM own o LEFT JOIN covered v ON v.id = o.id LEFT JOIN near a ON a.id = o.id)
+SELECT doc_id, n::BIGINT AS n_words, (length(t) - classes[{list(CLASSES).index('space') + 1}])::BIGINT AS word_chars,
+  classes[{list(CLASSES).index('symbol') + 1}]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance,
+  NOT failed AND dc <= {_RULES.max_class} AND dw <= {_RULES.max_word} AS kept
+FROM judged
+"""

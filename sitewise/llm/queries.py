@@ -19,8 +19,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = rules.judge(docs, rules.language_references(docs))
-    return judged.drop("text", "lang")
+    judged = rules.judge(docs, keep=("doc_id",))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +100,5 @@ QUERIES = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op11_merkle_manifest": oracles.MERKLE, "op12_phrase_collocations": oracles.PHRASES,
+    "op2_quality_rules": oracles.RULES, "op5_sharding": oracles.SHARDS, "op11_merkle_manifest": oracles.MERKLE, "op12_phrase_collocations": oracles.PHRASES,
 }

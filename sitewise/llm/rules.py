@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import fresh, words
+from sitewise.llm.common import fresh, settle, words
 
 # Frequent words of four languages, from public stop-word lists.
 COMMON_WORDS = {
@@ -37,18 +37,18 @@ class Rules:
     min_words: int = 200
 
 
-def _length_without(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
-
-
 def class_counts(text: Column) -> Column:
-    """Code points per character class, the rest last."""
-    total = F.length(text)
-    counts = [total - _length_without(text, pattern) for pattern in CLASSES.values()]
-    rest = total
-    for c in counts:
-        rest = rest - c
-    return F.array(*counts, rest)
+    """Code points per character class, the rest last.
+
+    The classes are apart from each other, so each is counted in what the ones before it left: runs of
+    lower-case letters and spaces go first, and what later passes read is short.
+    """
+    left, counts = text, {}
+    for name in sorted(CLASSES, key=lambda c: (c not in ("lower", "space"), list(CLASSES).index(c))):
+        less = F.regexp_replace(left, CLASSES[name] + "+", "")
+        counts[name] = F.length(left) - F.length(less)
+        left = less
+    return F.array(*[counts[name] for name in CLASSES], F.length(left))
 
 
 def word_counts(tokens: Column) -> Column:
@@ -86,6 +86,37 @@ def with_repeats(rows: DataFrame, tokens: str, name: str) -> DataFrame:
     return rows.withColumn(name, count.cast("bigint")).drop(hashes, order)
 
 
+def measured(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with a struct column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, classes and common."""
+    tokens, classes, common, repeats = fresh(docs, "_tokens", "_classes", "_common", "_repeats")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = with_repeats(with_histograms(docs, text_col, tokens, classes, common), tokens, repeats)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, "\t\x0b\f\r ", "")) > 0)
+    several = F.instr(text, "\n") > 0
+    return rows.withColumn(name, F.struct(
+        F.size(tokens).cast("bigint").alias("n_words"),
+        (F.length(text) - F.col(classes)[list(CLASSES).index("space")]).cast("bigint").alias("word_chars"),
+        F.col(classes)[list(CLASSES).index("symbol")].cast("bigint").alias("n_symbols"),
+        F.when(several, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("bigint").alias("n_dup_lines"),
+        F.col(repeats).alias("n_repeat_words"), F.length(text).alias("chars"), F.col(classes).alias("classes"), F.col(common).alias("common"),
+    )).drop(tokens, classes, common, repeats)
+
+
+def _references(rows: DataFrame, name: str, lang_col: str) -> dict[str, tuple[list[float], list[float]]]:
+    m = F.col(name)
+    rows = rows.where(F.col(lang_col).isin(*LANGUAGES) & (m["n_words"] >= 50)).select(F.col(lang_col).alias("lang"), m.alias("m"))
+    m, n_classes, n_common = F.col("m"), len(CLASSES) + 1, len(VOCABULARY) + 1
+    sums = rows.groupBy("lang").agg(
+        *[F.percentile_approx(m["classes"][i] / m["chars"], 0.5, 10_000).alias(f"c{i}") for i in range(n_classes)],
+        *[F.avg(m["common"][i] / m["n_words"]).alias(f"w{i}") for i in range(n_common)],
+    )
+    out = {}
+    for r in sums.orderBy("lang").collect():
+        middle = [r[f"c{i}"] for i in range(n_classes)]
+        out[r["lang"]] = ([c / (sum(middle) or 1.0) for c in middle], [r[f"w{i}"] for i in range(n_common)])
+    return out
+
+
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """Per language, the middle share of each character class and the mean share of each common word.
 
@@ -94,20 +125,8 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     rows; what comes back is one row per language of COMMON_WORDS. A language without documents
     has no reference.
     """
-    tokens, classes, common = fresh(docs, "_tokens", "_classes", "_common")
-    rows = docs.where(F.col(lang_col).isin(*LANGUAGES)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = with_histograms(rows, "text", tokens, classes, common).where(F.size(tokens) >= 50)
-    n_classes, n_words = len(CLASSES) + 1, len(VOCABULARY) + 1
-    rows = rows.select("lang", classes, common, F.length("text").alias("chars"), F.size(tokens).alias("n"))
-    sums = rows.groupBy("lang").agg(
-        *[F.percentile_approx(F.col(classes)[i] / F.col("chars"), 0.5, 10_000).alias(f"c{i}") for i in range(n_classes)],
-        *[F.avg(F.col(common)[i] / F.col("n")).alias(f"w{i}") for i in range(n_words)],
-    )
-    out = {}
-    for r in sums.orderBy("lang").collect():
-        middle = [r[f"c{i}"] for i in range(n_classes)]
-        out[r["lang"]] = ([c / (sum(middle) or 1.0) for c in middle], [r[f"w{i}"] for i in range(n_words)])
-    return out
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return _references(measured(rows, "m"), "m", "lang")
 
 
 def js_distance(shares: Column, reference: list[float]) -> Column:
@@ -122,54 +141,55 @@ def js_distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
 def judge(
-    docs: DataFrame, references: dict[str, tuple[list[float], list[float]]], rules: Rules = Rules(), text_col: str = "text"
+    docs: DataFrame, references: dict[str, tuple[list[float], list[float]]] | None = None, rules: Rules = Rules(),
+    text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    class_distance, word_distance and kept.
+    """The columns `keep` of docs (all, if none are named) with n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, class_distance, word_distance and kept.
 
     The distances are those from the nearest language reference (least of both added); they are 0
     where a text has too little to count or no reference exists. kept is false if the base rules
-    fail or a distance is above its limit. A null or empty text has no words and fails. Input
-    columns of these names are replaced; repeated rows are judged alike.
+    fail or a distance is above its limit. Without references, those of docs itself are taken. A null
+    or empty text has no words and fails. Input columns of these names are replaced; repeated rows are
+    judged alike; an empty table gives no rows. Texts are measured once: the measures are written to
+    the shared folder, and both the references and the verdicts come from there.
     """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
-    docs = docs.drop(*added)
-    tokens, classes, common, near, cs, ws = fresh(docs, "_tokens", "_classes", "_common", "_near", "_cs", "_ws")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = with_repeats(with_histograms(docs, text_col, tokens, classes, common), tokens, "n_repeat_words")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, "\t\x0b\f\r ", "")) > 0)
-    rows = rows.withColumns({
-        "n_words": F.size(tokens).cast("bigint"),
-        "word_chars": (F.length(text) - F.col(classes)[list(CLASSES).index("space")]).cast("bigint"),
-        "n_symbols": F.col(classes)[list(CLASSES).index("symbol")].cast("bigint"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-    })
-    chars = F.greatest(F.length(text), F.lit(1))
+    kept_columns = [c for c in (keep or docs.columns) if c.lower() not in ADDED]
+    docs = docs.drop(*ADDED)
+    m, near, cs, ws, lang = fresh(docs, "_measured", "_near", "_cs", "_ws", "_lang")
+    known = F.col(lang_col) if lang_col.lower() in [c.lower() for c in docs.columns] else F.lit(None).cast("string")
+    rows = settle(measured(docs.withColumn(lang, known), m, text_col).select(*kept_columns, lang, m))
+    if references is None:
+        references = _references(rows, m, lang)
+    rows = rows.withColumns({name: F.col(m)[name] for name in ADDED[:5]})
+    chars, n = F.col(m)["chars"], F.col(m)["n_words"]
     rows = rows.withColumns({
-        cs: F.transform(F.col(classes), lambda x: x / chars),
-        ws: F.transform(F.col(common), lambda x: x / F.greatest(F.size(tokens), F.lit(1))),
+        cs: F.transform(F.col(m)["classes"], lambda x: x / F.greatest(chars, F.lit(1))),
+        ws: F.transform(F.col(m)["common"], lambda x: x / F.greatest(n, F.lit(1))),
     })
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("c"), F.lit(0.0).alias("w"))
     pairs = []
     for class_ref, word_ref in references.values():
-        c = F.when(F.length(text) >= rules.min_chars, js_distance(F.col(cs), class_ref)).otherwise(0.0)
-        w = F.when(F.size(tokens) >= rules.min_words, js_distance(F.col(ws), word_ref)).otherwise(0.0)
+        c = F.when(chars >= rules.min_chars, js_distance(F.col(cs), class_ref)).otherwise(0.0)
+        w = F.when(n >= rules.min_words, js_distance(F.col(ws), word_ref)).otherwise(0.0)
         pairs.append(F.struct((c + w).alias("sum"), c.alias("c"), w.alias("w")))
     rows = rows.withColumn(near, F.array_min(F.array(*pairs)) if pairs else none)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col(near)["c"] <= rules.max_class) & (F.col(near)["w"] <= rules.max_word)
     return rows.withColumns({
         "base_failed": failed, "class_distance": F.col(near)["c"], "word_distance": F.col(near)["w"], "kept": kept,
-    }).select(*docs.columns, *added)
-
+    }).select(*kept_columns, *ADDED)
 
-def passing(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]], rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge keeps, with their own columns.
 
-    The row number keeps the optimizer from moving the test below the steps that it is made of,
-    which would work every step out again for each of its uses.
-    """
-    judged = judge(docs, references, rules, text_col)
-    (row,) = fresh(judged, "_row")
-    return judged.withColumn(row, F.monotonically_increasing_id()).where(F.col("kept") & (F.col(row) >= 0)).select(*docs.columns)
+def passing(
+    docs: DataFrame, references: dict[str, tuple[list[float], list[float]]] | None = None, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The rows of docs that judge keeps, with their own columns, even where those have names that judge adds."""
+    added = [c for c in docs.columns if c.lower() in ADDED]
+    renamed = dict(zip(added, fresh(docs, *[f"_{c}" for c in added]), strict=True))
+    judged = judge(docs.withColumnsRenamed(renamed), references, rules, text_col, lang_col).where("kept")
+    return judged.drop(*ADDED).withColumnsRenamed({b: a for a, b in renamed.items()}).select(*docs.columns)
