@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import settle
+from sitewise.llm.common import settle, ship, shipped
 from sitewise.llm.components import components
 
 SEED = 7_919
 BAND = 2.0  # width of a split's band, in deviations of what the longest link spans along it
 
 
+SAMPLE_BYTES = 64 << 20  # of vectors that the trees are fitted on, as they reach the driver
+
+
 @dataclass(frozen=True)
 class Forest:
     """cosine: least cosine of a link. trees, leaf, spill: number of trees, vectors a leaf aims at,
@@ -198,9 +201,11 @@ def link(vectors: DataFrame, rule: Forest = Forest(), id_col: str = "vec_id", ve
     found = None
     for size in top:  # one forest per length of vector; a table has one, as a rule
         part = classes.where(F.size("f") == size["d"])
-        share = min(1.0, rule.sample / size["all"])
-        drawn = part.where(F.pmod(F.xxhash64("kind"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("f").limit(2 * rule.sample)
-        sample = _unit(np.array([r[0] for r in drawn.toLocalIterator()] or [[1.0] * size["d"]], float))
+        wanted = min(rule.sample, max(1, SAMPLE_BYTES // (4 * max(size["d"], 1))))
+        share = min(1.0, wanted / size["all"])
+        drawn = part.where(F.pmod(F.xxhash64("kind"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("f").limit(2 * wanted)
+        flat = drawn.toArrow().column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sample = _unit(flat.reshape(-1, size["d"]).astype(float) if len(flat) else np.ones((1, size["d"])))
         # One forest serves all labels: their vectors are kept apart by the key of the leaf.
         forest = fit_forest(sample, size["most"], rule)
         part = _in_leaves(part, forest, rule)
@@ -228,9 +233,10 @@ def link(vectors: DataFrame, rule: Forest = Forest(), id_col: str = "vec_id", ve
 
 def _in_leaves(classes: DataFrame, forest: list[Split], rule: Forest) -> DataFrame:
     """(rep, links, least) of every class and leaf that holds it with a class it is linked with."""
-    shared = classes.sparkSession.sparkContext.broadcast(forest)  # at most 2 * sample / 16 splits per tree
+    shared = ship(classes.sparkSession, forest)  # at most 2 * sample / 16 splits per tree
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shipped(shared)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -241,7 +247,7 @@ def _in_leaves(classes: DataFrame, forest: list[Split], rule: Forest) -> DataFra
                 if x is not None:
                     raw[i] = x
             unit = _unit(raw)
-            pairs = [(int(i), number) for tree in shared.value for rows, number in leaves_of(tree, unit) for i in rows]
+            pairs = [(int(i), number) for tree in trees for rows, number in leaves_of(tree, unit) for i in rows]
             of: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for i, number in pairs:
                 of[i].append(number)

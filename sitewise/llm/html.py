@@ -29,7 +29,10 @@ HINT = re.compile(
     r"(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav\w*|menu|"
     r"breadcrumbs?|foot\w*|masthead|share|social|login|signup|search|toolbar|pagination))(?:$|[\s_-])"
 )
-NOTICE = re.compile(r"(?i)©|copyright|all rights reserved|cookies?\b|subscribe|newsletter|sign in|log in|advertisement")
+NOTICE = re.compile(
+    r"(?i)©|copyright (?:\d|\(c\))|all rights reserved|\b(?:we|sites?|uses?|using|accept|our|these|all) (?:\w+ )?cookies\b|"
+    r"\bcookies? (?:policy|settings|notice|consent|preferences|banner)|\bsubscribe (?:to|now|for|today)\b|\bour newsletter|^(?:sign|log) in\b|^advertisement"
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -106,10 +109,14 @@ def trained_tree(labelled=LABELLED) -> Node:
 
 
 def _role(name: str, attrs: str, inside: int) -> int:
+    """Role that an element gives to what it holds. The names of body and main, and of an article that is in
+    no other, say what kind of page it is, not that its text is furniture."""
     if name in ASIDE:
         return 2
     if name in CHROME or (name == "header" and not inside):
         return 1
+    if name in ("body", "main") or (name == "article" and not inside):
+        return 0
     found = 0
     for value in _NAMED.findall(attrs) if attrs else ():
         hint = HINT.search("".join(value))
@@ -135,20 +142,26 @@ def _past(page: str, name: str, attrs: str, at: int, open_ended: set[str]) -> in
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, share of words in links, role, inside) of the page's text blocks, in order.
 
+    An element that is called page furniture, but holds most of the words that are not links, is the
+    page's frame: its name counts for nothing.
+
     Elements that are never text are skipped with their content, or the tag alone where the end tag
     is missing (script and style run to the end of the page, as in browsers). A head is no more than
     its elements, so one without an end tag hides nothing after them. Otherwise a missing end tag ends
     with the element around it, and an article ends unclosed page furniture before it.
     """
-    out, parts, stack = [], [], []  # stack: (name, role, inside)
-    role = inside = in_link = link_words = 0
+    out, parts, stack = [], [], []  # stack: (name, role, inside, the outermost element that is furniture by its name)
+    role = inside = in_link = link_words = frame = frames = 0
+    framed: dict[int, float] = {}
 
     def close() -> None:
         nonlocal link_words
         text = " ".join("".join(parts).split())
         if text:
             n = text.count(" ") + 1
-            out.append((text, n, min(1.0, link_words / n), role, inside))
+            share = min(1.0, link_words / n)
+            out.append((text, n, share, role, inside, frame))
+            framed[frame] = framed.get(frame, 0.0) + n * (1 - share)
         parts.clear()
         link_words = 0
 
@@ -190,15 +203,19 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         else:
             own = _role(name, tag["attrs"], inside)
             if name in ("article", "main"):
-                kind = max(own, 2 if role == 2 else 0)
-                stack.append((name, kind, 1))
+                kind = 0 if name == "main" else max(own, 2 if role == 2 else 0)
+                stack.append((name, kind, 1, 0))
             else:
-                stack.append((name, max(role, own), inside))
-        role, inside = stack[-1][1:] if stack else (0, 0)
+                if own == 1 and not role and name not in CHROME and name != "header":
+                    frames += 1
+                    frame = frames
+                stack.append((name, max(role, own), inside, frame))
+        role, inside, frame = stack[-1][1:] if stack else (0, 0, 0)
     if at < len(page):
         add(page[at:])
     close()
-    return out
+    whole = sum(framed.values())
+    return [(*b[:3], 0 if b[3] == 1 and b[5] and 2 * framed[b[5]] > whole else b[3], b[4]) for b in out]
 
 
 def main_text(page: str | None, tree: Node) -> tuple[str, int, int]:

@@ -95,8 +95,8 @@ def mix(
     with a third of all rows is spread over 2^12 windows.
     """
     docs = docs.drop("size", "source_size", "target", "repeats", "taken", "positions")
-    k, s, part, missing, name, before, start = fresh(
-        docs, "_key", "_words", "_part", "_missing", "_name", "_before", "_start"
+    k, s, part, missing, name, before, start, kind = fresh(
+        docs, "_key", "_words", "_part", "_missing", "_name", "_before", "_start", "_kind"
     )
     source = F.col(source_col)
     rows = docs.withColumns({
@@ -107,7 +107,7 @@ def mix(
     sums = parts.groupBy(missing, name).agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(
         sums.select(F.when(~F.col(missing), F.col(name)).alias("source"), "source_size"), schedules, cap
-    ).select(F.col("source").isNull().alias(missing), F.coalesce("source", F.lit("")).alias(name), "source_size", "kind", "target")
+    ).select(F.col("source").isNull().alias(missing), F.coalesce("source", F.lit("")).alias(name), "source_size", F.col("kind").alias(kind), "target")
     upto = Window.partitionBy(missing, name).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(missing, name, part, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias(start)).join(
         targets, [missing, name]
@@ -122,7 +122,7 @@ def mix(
     again = ((rest > 0) & (middle <= rest)).cast("bigint")
 
     def at(done: Column) -> Column:
-        return _inverse(F.col("kind"), F.least((done * total + middle) / target, F.lit(1.0)), schedules)
+        return _inverse(F.col(kind), F.least((done * total + middle) / target, F.lit(1.0)), schedules)
 
     times = F.transform(F.sequence(F.lit(0), (F.col("repeats") - 1).cast("int")), at)
     return rows.withColumns({"repeats": passes + again}).select(

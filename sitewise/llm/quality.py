@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import fresh, held_out, settle
+from sitewise.llm.common import fresh, held_out, settle, ship, shipped
 from sitewise.llm.fitting import fit_logistic, learning_rows, sigmoid
 
 CHUNK = 1024  # bytes that are compressed on their own, so that a dictionary counts all along a long text
@@ -125,11 +125,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.drop("held_out", "score", "predicted")
     (s,) = fresh(docs, "_score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes at most
+    shared = ship(docs.sparkSession, model)  # two dictionaries of DICTIONARY bytes at most
     names = [*docs.columns, s]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shipped(shared)
         gauge = Gauge(known.good, known.bad)
         at = names.index(text_col)
         for batch in batches:

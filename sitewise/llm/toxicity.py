@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import fresh, held_out, settle
+from sitewise.llm.common import fresh, held_out, settle, ship, shipped
 from sitewise.llm.fitting import fit_logistic, learning_rows, sigmoid
 
 WORDS = re.compile(r"[^\W_]+")
@@ -217,11 +217,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.drop("held_out", "score", "predicted")
     (s,) = fresh(docs, "_score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most Voting.voters terms
+    shared = ship(docs.sparkSession, model)  # at most Voting.voters terms
     names = [*docs.columns, s]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shipped(shared)
         counter = TermCounter(known.terms)
         weights = known.weights
         at = names.index(text_col)
