@@ -159,51 +159,115 @@ def search(queries: DataFrame, places: DataFrame, k: int = 10, fuzzy: bool = Tru
     return hits.drop("stage", "tier", "name_order", "scope")
 
 
-def _keys(text: str) -> Column:
-    """Grams of which a string and any string scoring above the cut-off share at least one.
+LIKE = 1.5  # texts within this ratio of lengths are compared whole, others by parts
+PARTS = 8.0  # beyond this ratio no part can reach the cut-off
+# Least similarity (0 to 1) that lets a pair reach the cut-off, for the text as it stands and for its
+# sorted and its distinct tokens, which count 0.95; parts count 0.9 and 0.95 * 0.9.
+_WHOLE = {0: FUZZY_CUTOFF / 100, 1: FUZZY_CUTOFF / 95, 2: FUZZY_CUTOFF / 95}
+_PART = {0: FUZZY_CUTOFF / 90, 1: FUZZY_CUTOFF / 85.5, 2: FUZZY_CUTOFF / 85.5}
 
-    Whole tokens cover token sets; two-letter grams of the string and of its sorted tokens cover
-    every common run of two or more letters; single letters are only needed where one of the two
-    strings has a single letter, so the other has eight at most.
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """text, kind, size, grams of distinct texts: as they stand (0), tokens sorted (1), distinct tokens sorted (2).
+
+    grams are pairs of neighbouring letters, those that repeat with a number, so that two arrays
+    share as many elements as the texts share pairs.
     """
-    value = F.col(text)
-    words = F.array_sort(F.filter(F.split(value, r"\s+"), lambda w: F.length(w) > 0))
-    sorted_text = F.array_join(words, " ")
-
-    def grams(t: Column, n: int) -> Column:
-        return F.when(
-            F.length(t) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    letters = F.when(F.length(value) <= 8, grams(value, 1)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(
-        F.concat(
-            grams(value, 2), grams(sorted_text, 2),
-            F.transform(words, lambda w: F.concat(F.lit("="), w)),
-            F.transform(letters, lambda c: F.concat(F.lit("~"), c)),
-        )
-    )
+    words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0)
+    forms = [F.col("text"), F.array_join(F.array_sort(words), " "), F.array_join(F.array_sort(F.array_distinct(words)), " ")]
+    rows = texts.select("text", F.posexplode(F.array(*forms)).alias("kind", "form")).withColumn("size", F.length("form"))
+    pairs = F.when(
+        F.col("size") >= 2, F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda i: F.substring("form", i, F.lit(2)))
+    ).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("g", pairs)
+    numbered = F.transform("g", lambda g, i: F.concat(g, F.size(F.filter(F.slice("g", F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return rows.select("text", "kind", "size", numbered.alias("grams"))
+
+
+def _rarest_first(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with their grams in order of how many names hold them."""
+    each = rows.select("text", "kind", "size", F.explode("grams").alias("gram")).join(counts, ["kind", "gram"], "left")
+    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")))
+    grouped = each.groupBy("text", "kind", "size").agg(ordered.alias("o"))
+    return grouped.select("text", "kind", "size", F.transform("o", lambda x: x["gram"]).alias("grams"))
+
+
+def _by_kind(values: dict[int, float]) -> Column:
+    return F.element_at(F.array(*[F.lit(values[k]) for k in sorted(values)]), F.col("kind") + 1)
+
+
+def _shared_least(size: Column, other: Column, least: dict[int, float]) -> Column:
+    """Pairs of letters that texts of these sizes share if they are as alike as `least` asks.
+
+    A letter left out breaks two pairs of a text and one of the other, so with L letters in common
+    at least 3 L - size - other - 1 pairs stay.
+    """
+    c = {k: 1.5 * t - 1 for k, t in least.items()}
+    return F.ceil(_by_kind(c) * (size + other) - 1 - 1e-9)
+
+
+def _prefix(size: Column, least: dict[int, float]) -> Column:
+    """How many of a text's rarest grams must meet a partner's, whatever the partner's size."""
+    shortest = {k: t / (2 - t) for k, t in least.items()}  # of a partner, or of the stretch of it that counts
+    return F.greatest(size - 1 - _shared_least(size, size * _by_kind(shortest), least) + 1, F.lit(0))
+
+
+def fuzzy_candidates(cands: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (cand, name_lc) that may score above the cut-off, of distinct texts `cands` and `names` (column text).
+
+    Nothing that reaches the cut-off is left out. Texts of like length meet in the rarest grams of
+    both and must then share as many as their lengths ask for; where a short text may be a part of
+    a long one, the short one's rarest grams are looked up among all of the long one's. Texts with a
+    common token, and single letters, meet in these. All of it are equality joins in native code.
+    """
+    a, b = _variants(cands), _variants(names)
+    counts = b.select("kind", F.explode("grams").alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("held"))
+    a, b = _rarest_first(a, counts), _rarest_first(b, counts)
+    left = a.select(F.col("text").alias("cand"), "kind", F.col("size").alias("m"), F.col("grams").alias("x"))
+    right = b.select(F.col("text").alias("name_lc"), "kind", F.col("size").alias("n"), F.col("grams").alias("y"))
+    spread = F.greatest(F.length("cand"), F.length("name_lc")) / F.least(F.length("cand"), F.length("name_lc"))
+    shared = F.size(F.array_intersect("x", "y"))
+    m, n = F.col("m"), F.col("n")
+
+    def rarest(rows: DataFrame, grams: str, size: Column, least: dict[int, float]) -> DataFrame:
+        return rows.withColumn("gram", F.explode(F.slice(grams, F.lit(1), _prefix(size, least).cast("int"))))
+
+    # Of the grams in which two texts meet, the first one counts, so that no pair is built twice.
+    whole = rarest(left, "x", m, _WHOLE).join(rarest(right, "y", n, _WHOLE), ["kind", "gram"])
+    alike = 2 * F.least("m", "n") >= _by_kind(_WHOLE) * (m + n) - 1e-9
+    whole = whole.where((spread < LIKE) & alike & (shared >= _shared_least(m, n, _WHOLE)))
+    found = [whole]
+    for short, long, s, grams, size in ((left, right, m, ("x", "y"), n), (right, left, n, ("y", "x"), m)):
+        parts = rarest(short, grams[0], s, _PART).join(long.withColumn("gram", F.explode(grams[1])), ["kind", "gram"])
+        asked = _shared_least(s, s * _by_kind({k: t / (2 - t) for k, t in _PART.items()}), _PART)
+        found.append(parts.where((spread >= LIKE) & (spread <= PARTS) & (s <= size) & (shared >= asked)))
+    out = found[0].select("cand", "name_lc")
+    for more in found[1:]:
+        out = out.unionByName(more.select("cand", "name_lc"))
+    tokens = F.explode(F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0))).alias("token")
+    letters = F.explode(F.array_distinct(F.split("text", ""))).alias("token")
+    lone = F.length(F.trim("text")) <= 1
+    for meet, single in ((tokens, None), (letters, "cand"), (letters, "name_lc")):
+        asked = cands.where(lone) if single == "cand" else cands
+        known = names.where(lone) if single == "name_lc" else names
+        one = asked.select(F.col("text").alias("cand"), meet).join(known.select(F.col("text").alias("name_lc"), meet), "token").where(spread <= PARTS)
+        out = out.unionByName(one.select("cand", "name_lc"))
+    return out.distinct()
 
 
 def fuzzy_names(cands: DataFrame, names: DataFrame, k: int) -> DataFrame:
     """query_id, cand_pos, name_lc, score, order: the k best names per candidate above the cut-off.
 
     `cands` has query_id, context, cand_pos, cand; `names` has name_lc, context (NULL = any) and
-    pos, the place of the name in the table. Every candidate pair comes from a gram equality join
-    and is scored once, at the smallest gram the two share; a length bound in native code removes
-    pairs that cannot reach the cut-off.
+    pos, the place of the name in the table. Distinct texts are paired by fuzzy_candidates; a pair
+    is scored for the contexts that hold both.
     """
-    texts = cands.select("context", "cand").distinct().withColumn("_ck", _keys("cand"))
-    pool = names.select("context", "name_lc", "pos").withColumn("_nk", _keys("name_lc"))
-    left = texts.withColumn("_gram", F.explode("_ck"))
-    right = pool.withColumn("_gram", F.explode("_nk")).withColumnRenamed("context", "_nc")
-    pairs = left.join(right, (left["_gram"] == right["_gram"]) & left["context"].eqNullSafe(right["_nc"])).where(
-        left["_gram"] == F.array_min(F.array_intersect("_ck", "_nk"))
-    )
-    # Beyond eight times the length no part ratio (scaled by 0.6) can reach the cut-off.
-    short, long = F.least(F.length("cand"), F.length("name_lc")), F.greatest(F.length("cand"), F.length("name_lc"))
-    pairs = pairs.where(long <= short * 8).select("context", "cand", "name_lc", "pos")
+    texts = cands.select("context", "cand").where("cand IS NOT NULL").distinct()
+    pool = names.select("context", "name_lc", "pos")
+    paired = fuzzy_candidates(texts.select(F.col("cand").alias("text")).distinct(), pool.select(F.col("name_lc").alias("text")).where("text IS NOT NULL").distinct())
+    t, p = texts.join(paired, "cand").alias("t"), pool.alias("p")
+    here = (F.col("t.name_lc") == F.col("p.name_lc")) & F.col("t.context").eqNullSafe(F.col("p.context"))
+    pairs = t.join(p, here).select("t.context", "cand", "p.name_lc", "pos")
     scored = pairs.withColumn("score", weighted_ratio_udf("cand", "name_lc")).where(
         F.col("score") >= FUZZY_CUTOFF
     )

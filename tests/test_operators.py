@@ -80,6 +80,31 @@ def test_fuzzy_names_match_all_pairs(spark):
     assert got == {(i, n) for i, q in enumerate(asked) for n in names if weighted_ratio(q, n) >= 85}
 
 
+def edits(rng, text):
+    """text with a few letters dropped, doubled or changed, or tokens swapped, repeated or cut off."""
+    out = list(text)
+    for _ in range(rng.randint(0, 3)):
+        i = rng.randrange(len(out)) if out else 0
+        out[i : i + 1] = rng.choice([[], out[i : i + 1] * 2, [rng.choice("abcdexyz ")]])
+    words = "".join(out).split()
+    rng.shuffle(words)
+    return rng.choice(["".join(out), " ".join(words), " ".join(words + words[:1]), "".join(out)[: rng.randint(1, 9)], f"{text} {rng.choice(['a', 'by the sea', 'x'])}"])
+
+
+def test_no_alike_pair_is_lost_and_few_are_scored(spark):
+    shares = []
+    for size in (60, 400):
+        rng = random.Random(size)
+        token = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(2, 9)))
+        names = sorted({" ".join(token() for _ in range(rng.randint(1, 3))) for _ in range(size)})
+        asked = sorted({edits(rng, rng.choice(names)) for _ in range(size)} | {"", " ", "a", "ab", "aa aa", names[0], names[1].upper()})
+        frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "text string")
+        got = {(r.cand, r.name_lc) for r in search.fuzzy_candidates(frame(asked), frame(names)).collect()}
+        assert {(q, n) for q in asked for n in names if weighted_ratio(q, n) >= 85} <= got
+        shares.append(len(got) / (len(asked) * len(names)))
+    assert shares[1] < 0.02
+
+
 def test_search_falls_back_in_order(spark):
     places = places_frame(spark, ["East Langdon", "East Langdon", "Eastry", "Weybourne"])
     queries = spark.createDataFrame(
