@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewise.functions import geo
+from sitewise.functions import crs, geo
 from sitewise.functions import text as tx
 from sitewise.functions.fuzzy import token_set_ratio_udf
 from sitewise.operators.cells import with_box_cells
@@ -58,44 +58,30 @@ def segments(roads: DataFrame, points: str = "points") -> DataFrame:
     )
 
 
-def _meeting_point(a: str, b: str) -> Column:
-    """Where two pieces meet: the crossing, or the middle of a collinear overlap; NULL if apart."""
+def _meeting_stretch(a: str, b: str) -> Column:
+    """(lo, hi) along piece a, from 0 to 1, where piece b meets it; lo = hi for a crossing, NULL if they are apart."""
     ax, ay, bx, by = (F.col(f"{a}{c}") for c in ("x0", "y0", "x1", "y1"))
     cx, cy, ex, ey = (F.col(f"{b}{c}") for c in ("x0", "y0", "x1", "y1"))
     dx, dy, fx, fy = bx - ax, by - ay, ex - cx, ey - cy
     turn = dx * fy - dy * fx
     t = F.try_divide((cx - ax) * fy - (cy - ay) * fx, turn)
     u = F.try_divide((cx - ax) * dy - (cy - ay) * dx, turn)
-    crossing = F.when(
-        t.between(0, 1) & u.between(0, 1),
-        F.struct((ax + t * dx).alias("x"), (ay + t * dy).alias("y")),
-    )
+    crossing = F.when(t.between(0, 1) & u.between(0, 1), F.struct(t.alias("lo"), t.alias("hi")))
     length2 = dx * dx + dy * dy
     p = F.try_divide((cx - ax) * dx + (cy - ay) * dy, length2)
     q = F.try_divide((ex - ax) * dx + (ey - ay) * dy, length2)
     lo, hi = F.greatest(F.lit(0.0), F.least(p, q)), F.least(F.lit(1.0), F.greatest(p, q))
-    middle = (lo + hi) / 2
     aligned = ((cx - ax) * dy - (cy - ay) * dx) == 0
-    overlap = F.when(
-        aligned & (lo <= hi), F.struct((ax + middle * dx).alias("x"), (ay + middle * dy).alias("y"))
-    )
-    return F.when(turn != 0, crossing).otherwise(overlap)
-
+    return F.when(turn != 0, crossing).otherwise(F.when(aligned & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi"))))
 
-def junctions(requests: DataFrame, lines: DataFrame, cell_m: float = 200.0) -> DataFrame:
-    """request_id, name_a, name_b, x, y: where two of the 2-3 asked roads meet inside the box.
 
-    `requests` has request_id, names (array) and minx..maxy (NULL = anywhere); `lines` has road_id,
-    name_lc, minx..maxy and points. Pieces of different asked roads meet through cells; a point is
-    kept once per 0.1 m.
-    """
+def _instances(requests: DataFrame, lines: DataFrame, cell_m: float) -> DataFrame:
+    """request_id, i, asked, road_id: the lines of each asked road in the request's box (anywhere without one)."""
     asked = requests.select("request_id", *[F.col(c).alias(f"q{c}") for c in ("minx", "miny", "maxx", "maxy")],
                             F.posexplode("names").alias("i", "asked"))
     keyed = asked.withColumn("name_lc", F.explode(name_keys(F.col("asked"))))
-    pieces = segments(lines)
-    box = [F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1")]
-    # A request's box and a road meet in cells as well: no pair of a request and a far road is built.
-    roads = lines.select("road_id", "name_lc", "minx", "miny", "maxx", "maxy")
+    # A request's box and a road meet in cells: no pair of a request and a far road is built.
+    roads = lines.where(F.size("points") >= 2).select("road_id", "name_lc", "minx", "miny", "maxx", "maxy")
     boxed = with_box_cells(keyed.where("qminx IS NOT NULL"), ["qminx", "qminy", "qmaxx", "qmaxy"], cell_m * 5)
     near = boxed.join(with_box_cells(roads, ["minx", "miny", "maxx", "maxy"], cell_m * 5), ["cx", "cy", "name_lc"])
     apart = geo.bbox_disjoint(
@@ -103,28 +89,78 @@ def junctions(requests: DataFrame, lines: DataFrame, cell_m: float = 200.0) -> D
     )
     chosen = near.where(~apart).select("request_id", "i", "asked", "road_id").distinct()
     anywhere = keyed.where("qminx IS NULL").join(roads, "name_lc").select("request_id", "i", "asked", "road_id")
-    picked = chosen.unionByName(anywhere).join(pieces.select("road_id", "pos", "x0", "y0", "x1", "y1"), "road_id")
-    picked = with_box_cells(picked, box, cell_m)
-    names = ["i", "asked", "x0", "y0", "x1", "y1"]
-    a = picked.select("request_id", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = picked.select("request_id", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = a.join(b, ["request_id", "cx", "cy"]).where("a_i < b_i")
-    met = pairs.withColumn("p", _meeting_point("a_", "b_")).where("p IS NOT NULL")
-    key = ["request_id", F.round(F.col("p.x"), 1).alias("kx"), F.round(F.col("p.y"), 1).alias("ky")]
-    first = F.min(F.struct("a_i", "b_i", F.struct("p.x", "p.y").alias("p"), "a_asked", "b_asked")).alias("_m")
-    return met.groupBy(*key).agg(first).select(
-        "request_id", F.col("_m.a_asked").alias("name_a"), F.col("_m.b_asked").alias("name_b"),
-        F.col("_m.p.x").alias("x"), F.col("_m.p.y").alias("y"),
-    )
+    return chosen.unionByName(anywhere)
 
 
-def missing_roads(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """request_id, asked: roads that have no line at all (the request then fails as a whole)."""
+def missing_roads(requests: DataFrame, lines: DataFrame, cell_m: float = 200.0) -> DataFrame:
+    """request_id, asked: asked roads without a line in the request's box; such a request fails as a whole."""
+    known = _instances(requests, lines, cell_m).select("request_id", "i").distinct()
     asked = requests.select("request_id", F.posexplode("names").alias("i", "asked"))
-    keyed = asked.withColumn("name_lc", F.explode(name_keys(F.col("asked"))))
-    known = keyed.join(lines.select("name_lc").distinct(), "name_lc", "left_semi")
-    return asked.join(known.select("request_id", "i").distinct(), ["request_id", "i"], "left_anti").select(
-        "request_id", "asked"
+    return asked.join(known, ["request_id", "i"], "left_anti").select("request_id", "asked")
+
+
+def junctions(requests: DataFrame, lines: DataFrame, cell_m: float = 200.0, limit: int | None = None) -> DataFrame:
+    """request_id, hit, name_a, name_b, x, y, lat, lon, n_intersections: where the 2-3 asked roads meet inside the box.
+
+    `requests` has request_id, names (array) and minx..maxy (NULL = anywhere); `lines` has road_id,
+    name_lc, minx..maxy and points. A request of which a road has no line in the box gives no rows.
+
+    Pieces of different asked roads meet through cells. A pair of lines meets in points and in
+    stretches they share: stretches that follow each other along the first line are one. Where lines
+    share stretches only, they give one point, the middle of all shared length; beside crossings, each
+    stretch gives its own. Crossings on a shared stretch don't count. A point is kept once per 0.1 m;
+    hit numbers a request's points by roads, lines and place along the line, `limit` cuts them, and
+    n_intersections counts them all.
+    """
+    chosen = _instances(requests, lines, cell_m)
+    failed = missing_roads(requests, lines, cell_m).select("request_id").distinct()
+    pieces = segments(lines)
+    picked = chosen.join(failed, "request_id", "left_anti").join(pieces.select("road_id", "pos", "x0", "y0", "x1", "y1"), "road_id")
+    box = [F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1")]
+    picked = with_box_cells(picked, box, cell_m)
+    names = ["i", "asked", "road_id", "pos", "x0", "y0", "x1", "y1"]
+    a = picked.select("request_id", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = picked.select("request_id", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in names])
+    pairs = a.join(b, ["request_id", "cx", "cy"]).where("a_i < b_i").withColumn("at", _meeting_stretch("a_", "b_")).where("at IS NOT NULL")
+    pair = ["request_id", "a_i", "b_i", "a_road_id", "b_road_id", "a_asked", "b_asked"]
+
+    def along(t: Column, axis: str) -> Column:
+        return F.col(f"a_{axis}0") + t * (F.col(f"a_{axis}1") - F.col(f"a_{axis}0"))
+
+    length = (F.col("at.hi") - F.col("at.lo")) * F.hypot(F.col("a_x1") - F.col("a_x0"), F.col("a_y1") - F.col("a_y0"))
+    met = pairs.select(
+        *pair, "b_pos", (F.col("a_pos") + F.col("at.lo")).alias("start"), (F.col("a_pos") + F.col("at.hi")).alias("stop"), length.alias("len"),
+        *[along(F.col(f"at.{end}"), axis).alias(f"{axis}_{end}") for axis in "xy" for end in ("lo", "hi")],
+    ).distinct()  # pieces may meet in several cells
+    shared = met.where("len > 1e-9")
+    in_order = Window.partitionBy(*pair).orderBy("start", "stop", "b_pos")
+    reached = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = shared.withColumn("new", F.coalesce((F.col("start") > reached + 1e-9).cast("int"), F.lit(1)))
+    stretches = parted.withColumn("stretch", F.sum("new").over(in_order))
+    # A crossing that lies on a shared stretch is a part of it.
+    s, c = shared.select(*pair, "x_lo", "y_lo", "x_hi", "y_hi").alias("s"), met.where("len <= 1e-9").alias("c")
+    dx, dy = F.col("s.x_hi") - F.col("s.x_lo"), F.col("s.y_hi") - F.col("s.y_lo")
+    px, py = F.col("c.x_lo") - F.col("s.x_lo"), F.col("c.y_lo") - F.col("s.y_lo")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / (dx * dx + dy * dy)))
+    on_it = F.hypot(px - t * dx, py - t * dy) <= 1e-6
+    same = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in pair]
+    crossings = c.join(s, [*same, on_it], "left_anti").select(*pair, "start", F.col("x_lo").alias("x"), F.col("y_lo").alias("y"))
+    crossed = crossings.select(*pair).distinct().withColumn("crossed", F.lit(True))
+    known = stretches.join(crossed, pair, "left").withColumn("stretch", F.when(F.col("crossed"), F.col("stretch")))
+    weight = [(F.sum((F.col(f"{k}_lo") + F.col(f"{k}_hi")) / 2 * F.col("len")) / F.sum("len")).alias(k) for k in "xy"]
+    middles = known.groupBy(*pair, "stretch").agg(F.min("start").alias("start"), *weight).drop("stretch")
+    points = crossings.unionByName(middles.select(crossings.columns))
+    key = ["request_id", F.round("x", 1).alias("kx"), F.round("y", 1).alias("ky")]
+    order = F.struct("a_i", "b_i", "a_road_id", "b_road_id", "start", "x", "y", "a_asked", "b_asked")
+    once = points.groupBy(*key).agg(F.min(order).alias("m")).select("request_id", "m.*")
+    ranked = Window.partitionBy("request_id").orderBy("a_i", "b_i", "a_road_id", "b_road_id", "start", "x", "y")
+    out = once.withColumns({"hit": F.row_number().over(ranked), "n_intersections": F.count("*").over(Window.partitionBy("request_id"))})
+    if limit is not None:
+        out = out.where(F.col("hit") <= limit)
+    out = crs.bng_to_wgs84(out, "x", "y", "lat", "lon")
+    return out.select(
+        "request_id", "hit", F.col("a_asked").alias("name_a"), F.col("b_asked").alias("name_b"), "x", "y",
+        F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n_intersections",
     )
 
 

@@ -456,10 +456,20 @@ def road_crossings(i: Inputs):
     return met.select("request_id", "name_a", "name_b", _r("x", 1), _r("y", 1))
 
 
-@query("roads_missing", "road_line", sql="SELECT DISTINCT site AS request_id, 'Missing Lane' AS asked FROM road_line")
+@query("roads_missing", "road_line", sql=f"""WITH {_ROADS_SQL},
+    q AS (SELECT site, min(name) AS na, max(name) AS nb, min(minx) AS bx0, min(miny) AS by0, max(maxx) AS bx1, max(maxy) AS by1 FROM rd GROUP BY site),
+    ask AS (SELECT q.site, unnest([q.na, q.nb, CASE WHEN q.site % 3 = 0 THEN 'Missing Lane' WHEN q.site % 3 = 1 THEN f.nb END]) AS asked, q.bx0, q.by0, q.bx1, q.by1
+            FROM q LEFT JOIN q f ON f.site = q.site + 1)
+    SELECT site AS request_id, asked FROM ask WHERE asked IS NOT NULL AND NOT EXISTS (
+        SELECT 1 FROM rd WHERE name_lc IN (trim(lower(asked)), concat(trim(lower(asked)), ' road'))
+            AND NOT (maxx < bx0 OR minx > bx1 OR maxy < by0 OR miny > by1))""")
 def roads_missing(i: Inputs):
-    """Asked roads that do not exist anywhere."""
-    return roads.missing_roads(_site_requests(i), road_table(i))
+    """Asked roads without a line in the request's box: none of the name at all, or the next site's road, out of reach."""
+    own = _site_requests(i).withColumn("names", F.slice("names", 1, 2))
+    after = own.select((F.col("request_id") - 1).alias("request_id"), F.col("names")[1].alias("far"))
+    third = F.when(F.col("request_id") % 3 == 0, F.lit("Missing Lane")).when(F.col("request_id") % 3 == 1, F.col("far"))
+    asked = own.join(after, "request_id", "left").withColumn("names", F.array_compact(F.concat("names", F.array(third))))
+    return roads.missing_roads(asked, road_table(i))
 
 
 _SITE_POINTS = "sp AS (SELECT site AS point_id, min(minx) + 50 AS x, min(miny) + 50 AS y FROM rd GROUP BY site)"
