@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,10 @@ class NearDup:
     slack: int = 15
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles, A-Z lower-cased; all words where there are fewer."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_set(text: str | bytes | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text (or its UTF-8), A-Z lower-cased; all words where there are fewer."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    tokens = raw.lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
@@ -101,6 +103,18 @@ def _features(docs: DataFrame, rule: NearDup) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, print binary, bands array<long>, sign binary")
 
 
+def _pressed(source: DataFrame) -> DataFrame:
+    """id, text of source, each text compressed before it is sent anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out = [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "text"])
+
+    return source.where("text is not null").mapInArrow(run, "id long, text binary")
+
+
 def _agreement(pairs: DataFrame, signs: DataFrame, rule: NearDup) -> DataFrame:
     """pairs (u, hub) with alike, the share of places in which their signatures agree; null where an id has several sets."""
 
@@ -141,14 +155,14 @@ def _beside_hubs(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame
     hubs = hubs.select("hub", "part", F.lit(0).alias("side"), F.col("hub").alias("u"), "which", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, []
+        now, known, opener = None, [], zstandard.ZstdDecompressor()
         for batch in batches:
             sizes, bins, linked = [], [], []
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for (hub, part, side), text in zip(keys, batch.column(5), strict=True):
                 if (hub, part) != now:
                     now, known = (hub, part), []
-                own = shingle_set(text.as_py(), rule.words)
+                own = shingle_set(opener.decompress(text.as_py()), rule.words)
                 if side == 0:
                     known.append(own)
                     continue
@@ -230,7 +244,7 @@ def _among_members(compared: DataFrame, joined: DataFrame, texts: DataFrame, rul
     rows = rows.select("hub", "a", "b", "side", "c", "text").repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, labels = None, ([], []), ([], [])
+        now, sets, labels, opener = None, ([], []), ([], []), zstandard.ZstdDecompressor()
 
         def links() -> pa.RecordBatch:
             right = 1 if now[1] != now[2] else 0
@@ -250,7 +264,7 @@ def _among_members(compared: DataFrame, joined: DataFrame, texts: DataFrame, rul
                     if now is not None:
                         yield links()
                     now, sets, labels = (hub, one, other), ([], []), ([], [])
-                sets[side].append(shingle_set(text.as_py(), rule.words))
+                sets[side].append(shingle_set(opener.decompress(text.as_py()), rule.words))
                 labels[side].append(c)
         if now is not None:
             yield links()
@@ -292,7 +306,7 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     pairs = settle(buckets.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), "hub").distinct())
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     order = Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")
-    texts = source.join(wanted, "id", "left_semi").where("text is not null").dropDuplicates(["id", "text"])
+    texts = _pressed(source).join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
     sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.count("*").alias("sets"), F.first("sign").alias("sign"))
     texts = texts.withColumn("which", F.row_number().over(order)).join(sizes, "id").select("id", "which", "n", "text")
     texts = settle(texts)
