@@ -24,7 +24,7 @@ def build_session(app: str = "sitewise", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names; a local one only where none is set and the session is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -34,6 +34,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder, and this session's executors may be on other machines")
     path = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(path)
     return path
