@@ -100,9 +100,19 @@ def token_totals(calls: DataFrame) -> DataFrame:
     ).withColumn("total", F.col("request") + F.col("response"))
 
 
+def rejected(action: Column, error: Column) -> Column:
+    """An iteration that asked for a change or failed; one without an action that didn't fail is neither."""
+    return F.coalesce(action != "approve", F.lit(False)) | error.isNotNull()
+
+
 def rejections(iterations: Column) -> Column:
-    """Iterations that asked for a change or failed."""
-    return F.size(F.filter(iterations, lambda i: (i["action"] != "approve") | (i["llm_error"].isNotNull())))
+    """Rejected iterations of a list; none for null."""
+    return F.size(F.filter(F.coalesce(iterations, F.array().cast("array<struct<action:string,llm_error:string>>")), lambda i: rejected(i["action"], i["llm_error"])))
+
+
+def rejection_counts(steps: DataFrame) -> DataFrame:
+    """case_id, n_rejections from one row per iteration (case_id, action, llm_error); no case's list is gathered."""
+    return steps.groupBy("case_id").agg(F.count_if(rejected(F.col("action"), F.col("llm_error"))).cast("int").alias("n_rejections"))
 
 
 def group_lines(pages: DataFrame) -> DataFrame:

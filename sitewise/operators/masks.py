@@ -43,9 +43,12 @@ def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).drop("_island")
 
 
-def mask_confusion(runs: DataFrame) -> DataFrame:
+def mask_confusion(runs: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """mask_id, tp, n_pred, n_gt, iou, precision, recall, f1, dice; `runs` has which in ('pred', 'gt').
 
+    `shapes` has mask_id, which, height, width: where the two masks' shapes differ, or one is not known,
+    their pixels can't be compared, so tp and all scores are NULL.
+
     One sweep along each pixel row: starts and ends are summed per position first, so a row never
     holds more than its width, and no run is paired with another.
     """
@@ -69,7 +72,17 @@ def mask_confusion(runs: DataFrame) -> DataFrame:
     sums = swept.groupBy("mask_id").agg(
         pixels(F.col("p") & F.col("g")).alias("tp"), pixels(F.col("p")).alias("n_pred"), pixels(F.col("g")).alias("n_gt")
     )
-    return sums.select("mask_id", "tp", "n_pred", "n_gt", *confusion_scores("tp", "n_pred", "n_gt"))
+    scored = sums.select("mask_id", "tp", "n_pred", "n_gt", *confusion_scores("tp", "n_pred", "n_gt"))
+    if shapes is None:
+        return scored
+    size = F.struct("height", "width")
+    both = shapes.where("height IS NOT NULL AND width IS NOT NULL").groupBy("mask_id").agg(
+        (F.count_distinct("which") == 2).alias("_both"), (F.min(size) == F.max(size)).alias("_same")
+    )
+    scored = scored.join(both, "mask_id", "left").withColumn("_fit", F.coalesce(F.col("_both") & F.col("_same"), F.lit(False)))
+    return scored.select("mask_id", *[
+        F.col(c) if c in ("n_pred", "n_gt") else F.when(F.col("_fit"), F.col(c)).alias(c) for c in scored.columns if c[0] != "_" and c != "mask_id"
+    ])
 
 
 def confusion_scores(tp: str, n_pred: str, n_gt: str) -> list[Column]:

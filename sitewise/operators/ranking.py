@@ -82,13 +82,12 @@ def road_agreement(n_matched: Column, n_total: Column, roads_present: Column) ->
 
 def road_verdict(n_matched: Column, n_total: Column, roads_present: Column) -> Column:
     return (
-        F.when(n_total == 0, "no road names extracted by reader (no signal)")
+        F.when(n_total == 0, "nothing to test: the map names no roads")
         .when(~roads_present,
-              "no OS roads within radius — sparse cartography (rural / unlabelled), neutral signal")
+              "nothing to test: no named roads around this place")
         .when(n_matched == 0, F.format_string(
-            "OS roads present here but ZERO of %d reader roads match — possible wrong-area signal "
-            "(trust strong inliers over this)", n_total))
-        .otherwise(F.format_string("%d/%d reader roads found in OS", n_matched, n_total))
+            "none of %d named roads is here, though others are: the area may be wrong", n_total))
+        .otherwise(F.format_string("%d of %d named roads are here", n_matched, n_total))
     )
 
 
@@ -100,7 +99,7 @@ def match_reward(avg_scale: Column, reader_scale: Column, n_matched: Column, n_t
     roads = F.struct(
         F.when(has_centre, road_agreement(n_matched, n_total, present)).otherwise(F.lit(0.5)).alias("score"),
         F.when(has_centre, road_verdict(n_matched, n_total, present))
-        .otherwise(F.lit("no center_latlon (no signal)")).alias("verdict"),
+        .otherwise(F.lit("nothing to test: no centre")).alias("verdict"),
     )
     return F.create_map(F.lit("scale_consistency"), scale, F.lit("road_name_agreement"), roads)
 

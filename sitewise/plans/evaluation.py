@@ -399,12 +399,7 @@ def rejection_count(i: Inputs):
         F.when(F.col("tool_name") == "propose_centers", "approve").otherwise("switch").alias("action"),
         F.when(F.col("kind") == "retryprompt", "failed").alias("llm_error"),
     )
-    # Steps are counted by kind first, so the list per case holds a few rows however long the case.
-    kinds = steps.groupBy("case_id", "action", "llm_error").agg(F.count("*").alias("n"))
-    rejected = (F.col("action") != "approve") | F.col("llm_error").isNotNull()
-    return kinds.groupBy("case_id").agg(
-        F.coalesce(F.sum(F.when(rejected, F.col("n"))), F.lit(0)).cast("int").alias("n_rejections")
-    )
+    return tm.rejection_counts(steps)
 
 
 @query("token_change", "usage", sql="""WITH

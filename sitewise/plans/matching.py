@@ -56,9 +56,9 @@ def road_boost(i: Inputs):
 @query("match_reward", "attempt", sql="""
     SELECT seq, round(least(avg_scale, 1 / avg_scale) ^ 2, 6) AS scale_score,
         CASE WHEN seq % 7 = 0 THEN 0.5::DOUBLE WHEN n_road_matched = 0 AND zoom <> 16 THEN 0.0::DOUBLE WHEN zoom = 16 THEN 0.5::DOUBLE ELSE n_road_matched / 4.0::DOUBLE END AS road_score,
-        CASE WHEN seq % 7 = 0 THEN 'no center_latlon (no signal)' WHEN zoom = 16 THEN 'no OS roads within radius — sparse cartography (rural / unlabelled), neutral signal'
-             WHEN n_road_matched = 0 THEN 'OS roads present here but ZERO of 4 reader roads match — possible wrong-area signal (trust strong inliers over this)'
-             ELSE concat(CAST(n_road_matched AS STRING), '/4 reader roads found in OS') END AS road_verdict,
+        CASE WHEN seq % 7 = 0 THEN 'nothing to test: no centre' WHEN zoom = 16 THEN 'nothing to test: no named roads around this place'
+             WHEN n_road_matched = 0 THEN 'none of 4 named roads is here, though others are: the area may be wrong'
+             ELSE concat(CAST(n_road_matched AS STRING), ' of 4 named roads are here') END AS road_verdict,
         CAST(NULL AS DOUBLE) AS missing_axis FROM attempt""")
 def match_reward(i: Inputs):
     """Both consistency axes of every attempt, read back from the reward map."""

@@ -161,6 +161,21 @@ def mask_confusion(i: Inputs):
     return c.select("mask_id", "tp", "n_pred", "n_gt", *[_r(n) for n in ("iou", "precision", "recall", "f1", "dice")])
 
 
+@query("mask_confusion_by_shape", "mask_run", sql="""WITH
+    px AS (SELECT DISTINCT mask_id, which, row_no, unnest(range(x_start, x_end)) AS x FROM mask_run),
+    pp AS (SELECT mask_id, row_no, x, max(CASE WHEN which = 'pred' THEN 1 ELSE 0 END) AS p, max(CASE WHEN which = 'gt' THEN 1 ELSE 0 END) AS g FROM px GROUP BY 1, 2, 3),
+    c AS (SELECT mask_id, CAST(sum(p * g) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(g) AS BIGINT) AS n_gt FROM pp GROUP BY 1),
+    k AS (SELECT *, coalesce(tp * 1.0 / nullif(n_pred, 0), 0) AS pr, coalesce(tp * 1.0 / nullif(n_gt, 0), 0) AS rc FROM c)
+    SELECT mask_id, CASE WHEN mask_id % 3 <> 0 THEN tp END AS tp, n_pred, n_gt, CASE WHEN mask_id % 3 <> 0 THEN round(coalesce(tp * 1.0 / nullif(n_pred + n_gt - tp, 0), 0), 6) END AS iou FROM k""")
+def mask_confusion_by_shape(i: Inputs):
+    """Scores of masks of which every third pair has unlike shapes."""
+    runs = i.bind("mask_run")
+    unlike = (F.col("mask_id") % 3 == 0) & (F.col("which") == "gt")
+    pairs = runs.select("mask_id").distinct().withColumn("which", F.explode(F.array(F.lit("pred"), F.lit("gt"))))
+    shapes = pairs.select("mask_id", "which", F.lit(256).alias("height"), F.when(unlike, 255).otherwise(256).alias("width"))
+    return masks.mask_confusion(runs, shapes).select("mask_id", "tp", "n_pred", "n_gt", _r("iou"))
+
+
 @query("merged_runs", "mask_run", sql=f"WITH {_MERGED} SELECT mask_id, which, row_no, s AS x_start, e AS x_end FROM mr")
 def merged_runs(i: Inputs):
     return masks.merge_runs(i.bind("mask_run"), ["mask_id", "which", "row_no"])
