@@ -22,7 +22,7 @@ def name_keys(query: Column) -> Column:
 
 
 def lookup_roads(requests: DataFrame, roads: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, hit, road_id, cx, cy: the first k roads of a name, plain name first.
+    """query_id, hit, road_id, cx, cy, lat, lon: the first k roads of a name, plain name first.
 
     `requests` has query_id, query and area_id (NULL = anywhere); `roads` has road_id, name_lc, cx,
     cy and area_id of the area its centre lies in. Only the first k roads per name and area can be
@@ -41,7 +41,9 @@ def lookup_roads(requests: DataFrame, roads: DataFrame, k: int = 5) -> DataFrame
     best = first_per_key(found, ["query", "_area"], ["pos", "road_id"], k)
     r = requests.select("query_id", F.col("query").alias("_q"), F.col("area_id").cast("bigint").alias("_a"))
     joined = r.join(best, (F.col("_q") == F.col("query")) & F.col("_a").eqNullSafe(F.col("_area")))
-    return joined.select("query_id", F.col("rn").alias("hit"), "road_id", "cx", "cy")
+    hits = joined.select("query_id", F.col("rn").alias("hit"), "road_id", "cx", "cy")
+    placed = crs.bng_to_wgs84(hits, "cx", "cy", "lat", "lon")
+    return placed.select(*hits.columns, F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 def segments(roads: DataFrame, points: str = "points") -> DataFrame:

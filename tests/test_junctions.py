@@ -69,3 +69,10 @@ def test_limit_and_degrees(got):
     assert sorted((r.request_id, r.hit, r.n_intersections) for r in rows) == [(0, 1, 2), (1, 1, 1), (2, 1, 1), (3, 1, 2), (7, 1, 4)]
     assert all(53.4 < r.lat < 53.6 and -2.1 < r.lon < -1.9 for r in rows)
     assert roads.junctions(requests.where(F.lit(False)), table).count() == 0
+
+
+def test_looked_up_roads_have_degrees(spark):
+    table = lines(spark, ROADS[:2]).withColumns({"cx": F.col("minx"), "cy": F.col("miny"), "area_id": F.lit(1)})
+    asked_for = spark.createDataFrame([(1, "High Street", None), (2, "mill lane", 1), (3, "mill lane", 2)], "query_id int, query string, area_id int")
+    got = {r.query_id: r for r in roads.lookup_roads(asked_for, table).collect()}
+    assert set(got) == {1, 2} and all(53.4 < r.lat < 53.6 and -2.1 < r.lon < -1.9 for r in got.values())
