@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions import text as tx
-from sitewise.operators.stats import value_summary
+from sitewise.operators.stats import value_summaries, value_summary
 
 # Buckets of each document attribute and rate thresholds.
 BUCKETS = {"colour": ("white", "yellow"), "quality": ("good", "bad"), "complexity": ("easy", "medium", "hard")}
@@ -59,26 +59,30 @@ def last_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     )
 
 
-def headline(cases: DataFrame, keys: Sequence[str] = (), iou: str = "iou", distance: str = "distance", span: str = "span") -> DataFrame:
+def headline(
+    cases: DataFrame, keys: Sequence[str] = (), iou: str = "iou", distance: str = "distance", span: str = "span",
+    total: bool = False,
+) -> DataFrame:
     """n_cases, pct_grt_0, mean_iou, median_iou, pct_grt_08, median_distance_m, acc_01d.
 
-    Missing scores count as 0 and missing distances as infinitely far.
+    Missing scores count as 0 and missing distances as infinitely far. With `total`, one more row with NULL
+    keys holds all cases.
     """
     rows = cases.select(
         *keys, honest(F.col(iou)).alias("v"), missed(F.col(distance)).alias("d"), F.col(span).alias("s")
     )
-    scores = value_summary(
-        rows, keys, "v",
+    by = list(keys)
+    if total and keys:
+        rows = rows.withColumn("_total", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns(
+            {k: F.when(~F.col("_total"), F.col(k)) for k in keys}
+        )
+        by = ["_total", *by]
+    return value_summaries(
+        rows, by, {"v": F.col("v"), "d": F.col("d")},
         [pct(F.col("v") > 0).alias("pct_grt_0"), pct(F.col("v") >= 0.8).alias("pct_grt_08"),
          pct(F.col("d") <= 0.1 * F.col("s")).alias("acc_01d")],
-    ).select(*keys, F.col("n").alias("n_cases"), "pct_grt_0", F.col("mean").alias("mean_iou"),
-             F.col("median").alias("median_iou"), "pct_grt_08", "acc_01d")
-    distances = value_summary(rows, keys, "d").select(*keys, F.col("median").alias("median_distance_m"))
-    if keys:
-        return scores.join(distances, list(keys))
-    return scores.withColumn("_k", F.lit(0)).join(
-        F.broadcast(distances.withColumn("_k", F.lit(0))), "_k"
-    ).drop("_k")
+    ).select(*keys, F.col("v_n").alias("n_cases"), "pct_grt_0", F.col("v_mean").alias("mean_iou"),
+             F.col("v_median").alias("median_iou"), "pct_grt_08", F.col("d_median").alias("median_distance_m"), "acc_01d")
 
 
 def long_values(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
@@ -89,9 +93,12 @@ def long_values(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]
 
 def aggregate_stats(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     """One row per measure: n, mean, median, std (population), min, max."""
-    return value_summary(long_values(df, [], values), ["metric"], "value").select(
-        "metric", "n", "mean", "median", "std", "min", "max"
-    )
+    wide = value_summaries(df, [], values)
+    names = ("n", "mean", "median", "std", "min", "max")
+    lines = F.array(*[
+        F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{s}").alias(s) for s in names]) for m in values
+    ])
+    return wide.select(F.explode(lines).alias("_l")).select("_l.*")
 
 
 def run_summary(results: DataFrame) -> DataFrame:
@@ -109,16 +116,15 @@ def run_summary(results: DataFrame) -> DataFrame:
         "ok_recall": F.when(produced, F.col("rec")),
         "ok_distance": F.when(produced, F.col("err_m")),
     }
-    stats = value_summary(long_values(results, [], values), ["metric"], "value")
-    names = ("n", "mean", "median", "std", "min", "max")
-    wide = stats.groupBy().agg(
-        *[F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in values for s in names if (m, s) != ("iou", "n")]
-    )
-    counts = results.agg(
+    counts = [
         F.count("*").alias("total"), F.count_if(produced).alias("polygons_produced"),
         F.count_if(~crashed & F.col("iou").isNull()).alias("no_polygon"), F.count_if(crashed).alias("crashed"),
+    ]
+    names = ("n", "mean", "median", "std", "min", "max")
+    return value_summaries(results, [], values, counts).select(
+        "total", "polygons_produced", "no_polygon", "crashed",
+        *[f"{m}_{s}" for m in values for s in names if (m, s) != ("iou", "n")],
     )
-    return counts.withColumn("_k", F.lit(0)).join(F.broadcast(wide.withColumn("_k", F.lit(0))), "_k").drop("_k")
 
 
 def fold_table(pages: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -2,62 +2,132 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The approximate pass is off by at most 1/ACCURACY of the rows; the band is wider than that.
+# The approximate pass is off by at most 1/ACCURACY of the rows; the band is wider than that. A group of
+# fewer than 1/BAND rows takes all its values as the band.
 ACCURACY = 10_000
 BAND = 2.5e-4
+# Parts into which a round of refinement cuts the range of values that is still open.
+PARTS = 1024
+STATS = ("n", "mean", "std", "min", "max", "median", "upper_median")
 
 
-def value_summary(
-    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()
+def _holds(first: Column, end: Column, n: Column) -> tuple[Column, Column]:
+    """Whether the lower and the upper middle rank of n lie in [first, end)."""
+    low, high = F.floor((n - 1) / 2), F.floor(n / 2)
+    return (first <= low) & (low < end), (first <= high) & (high < end)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool, how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL; the other columns of both sides must differ in name."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(F.broadcast(named) if small else named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _middles(placed: DataFrame, by: list[str], n_values: int, rounds: int, small: bool) -> DataFrame:
+    """by, _low<i>, _high<i>: the values at both middle ranks of every metric, from counted values.
+
+    Each round sums the counts of at most PARTS equal parts of the open range, which fixes the part that
+    holds a middle rank and the rows before it; only the values in that part go on.
+    """
+    cell = [*by, "_metric", "_cell"]
+    rest = placed.withColumns({"_cell": F.lit(0).cast("bigint"), "_base": F.lit(0).cast("bigint")})
+    for _ in range(rounds):
+        share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        inside = F.when(F.col("_v") == F.col("_hi"), PARTS - 1).otherwise(
+            F.least(F.coalesce(F.floor(share * PARTS), F.lit(0)), F.lit(PARTS - 1))
+        )
+        rest = rest.withColumn(
+            "_part", F.when(F.col("_side") == 0, inside).otherwise(F.col("_side") * (2 * PARTS)).cast("bigint")
+        )
+        sums = rest.groupBy(*cell, "_base", "_n", "_part").agg(
+            F.sum("_c").alias("_size"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+        )
+        upto = F.col("_base") + F.sum("_size").over(Window.partitionBy(*cell).orderBy("_part"))
+        ends = sums.withColumn("_end", upto)
+        low, high = _holds(F.col("_end") - F.col("_size"), F.col("_end"), F.col("_n"))
+        chosen = ends.where(low | high).select(
+            *cell, "_part", (F.col("_end") - F.col("_size")).alias("_start"), "_min", "_max"
+        )
+        rest = _same_keys(rest, chosen, [*cell, "_part"], small).select(
+            *by, "_metric", "_side", "_v", "_c", "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
+            (F.col("_cell") * (4 * PARTS + 1) + F.col("_part")).alias("_cell"), F.col("_start").alias("_base"),
+        )
+    end = F.col("_base") + F.sum("_c").over(Window.partitionBy(*cell).orderBy("_v"))
+    ranked = rest.withColumn("_end", end)
+    low, high = _holds(F.col("_end") - F.col("_c"), F.col("_end"), F.col("_n"))
+    return ranked.groupBy(*by).agg(*[
+        F.max(F.when((F.col("_metric") == i) & here, F.col("_v"))).alias(f"{name}{i}")
+        for i in range(n_values) for name, here in (("_low", low), ("_high", high))
+    ])
+
+
+def value_summaries(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], extra: Sequence[Column] = (), rounds: int = 1
 ) -> DataFrame:
-    """n, mean, std, min, max, median and upper_median of `value` per key, plus `extra` aggregates.
+    """keys, <name>_<stat> for every value and each of STATS, and the `extra` aggregates: one row per key.
 
-    The medians are exact. A first aggregate brackets the middle with an approximate quantile of
-    bounded size; a second one counts the rows below the bracket and each distinct value in it,
-    so only that narrow band of distinct values is ever sorted. NULL values are left out.
+    Values are taken as doubles and the medians are exact. The rows are scanned twice, for all values
+    together: an aggregate with an approximate quantile of bounded size brackets each middle, then rows below
+    and above the bracket and the distinct values in it are counted. Those counts are refined in `rounds`
+    rounds of PARTS equal parts, so a sort sees one part of the bracket and never all of it. NULL values are
+    left out (a key without any has n 0 and NULL statistics), a NULL key is a key, infinity and NaN are the
+    largest values; an empty table gives no row, or one with n 0 if there are no keys.
     """
-    rows, by = df, list(keys)
-    if not by:
-        rows, by = df.withColumn("_all", F.lit(0)), ["_all"]
-    first = rows.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.percentile_approx(value, [0.5 - BAND, 0.5 + BAND], ACCURACY).alias("_band"),
-        *extra,
-    )
-    band = first.select(*by, F.col("_band")[0].alias("_lo"), F.col("_band")[1].alias("_hi"))
-    if not keys:
-        band = F.broadcast(band)  # a single row
+    by = list(keys) or ["_all"]
+    named = {f"_m{i}": c.cast("double") for i, c in enumerate(values.values())}
+    rows = df.withColumns(named if keys else named | {"_all": F.lit(0)})
+    aggregates = [*extra]
+    for i, name in enumerate(values):
+        c = f"_m{i}"
+        band = F.percentile_approx(c, [0.5 - BAND, 0.5 + BAND], ACCURACY)
+        whole = F.array(F.min(c), F.max(c))
+        aggregates += [
+            F.count(c).alias(f"{name}_n"), F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std"),
+            F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"),
+            F.when(F.count(c) * BAND < 1, whole).otherwise(band).alias(f"_band{i}"),
+        ]
+    first = rows.groupBy(*by).agg(*aggregates) if keys else rows.agg(F.lit(0).alias("_all"), *aggregates)
+    bands = first.select(*by, F.array(*[
+        F.struct(F.col(f"_band{i}")[0].alias("_lo"), F.col(f"_band{i}")[1].alias("_hi"), F.col(f"{name}_n").alias("_n"))
+        for i, name in enumerate(values)
+    ]).alias("_bands"))
+
+    def place(i: int) -> Column:
+        v, b = F.col(f"_m{i}"), F.col("_bands")[i]
+        side = F.when(v < b["_lo"], -1).when(v > b["_hi"], 1).when(v.isNotNull(), 0)
+        return F.struct(
+            F.lit(i).alias("_metric"), side.alias("_side"), F.when(side == 0, v).alias("_v"),
+            b["_lo"].alias("_lo"), b["_hi"].alias("_hi"), b["_n"].alias("_n"),
+        )
+
+    counted = ["_metric", "_side", "_v", "_lo", "_hi", "_n"]
     placed = (
-        rows.where(F.col(value).isNotNull())
-        .select(*by, F.col(value).alias("_v"))
-        .join(band, by)
-        .withColumn("_side", F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0))
-        .withColumn("_v", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*by, "_side", "_v")
-        .agg(F.count("*").alias("_c"))
+        _same_keys(rows.select(*by, *named), bands, by, not keys)
+        .select(*by, F.explode(F.array(*[place(i) for i in range(len(values))])).alias("_p"))
+        .select(*by, "_p.*").where(F.col("_side").isNotNull())
+        .groupBy(*by, *counted).agg(F.count("*").alias("_c"))
     )
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_side", "_v"))
-    total = F.sum("_c").over(Window.partitionBy(*by))
-    ranked = placed.withColumns({"_upto": upto, "_n": total})
+    middles = _middles(placed, by, len(values), rounds, not keys)
+    out = _same_keys(first, middles, by, not keys, "left")
+    for i, name in enumerate(values):
+        out = out.withColumns({
+            f"{name}_median": (F.col(f"_low{i}") + F.col(f"_high{i}")) / 2, f"{name}_upper_median": F.col(f"_high{i}")
+        })
+    helpers = [f"{h}{i}" for h in ("_band", "_low", "_high") for i in range(len(values))]
+    return out.drop("_all", *helpers)
 
-    def at(rank: Column) -> Column:
-        here = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-        return F.max(F.when(here, F.col("_v")))
 
-    middle = ranked.groupBy(*by).agg(
-        at(F.floor((F.col("_n") - 1) / 2)).alias("_low"), at(F.floor(F.col("_n") / 2)).alias("upper_median")
-    )
-    joined = first.join(F.broadcast(middle) if not keys else middle, by, "left")
-    return joined.withColumn("median", (F.col("_low") + F.col("upper_median")) / 2).drop("_low", "_band", "_all")
+def value_summary(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """STATS of `value` per key, plus `extra` aggregates; see value_summaries."""
+    table = value_summaries(df, keys, {"_value": F.col(value)}, extra)
+    return table.withColumnsRenamed({f"_value_{s}": s for s in STATS})
 
 
 def bucketed_rank(

@@ -59,8 +59,7 @@ def headline_metrics(i: Inputs):
     cases = i.bind("case_result").join(
         i.bind("case_label").select(F.col("folder").alias("case_id"), "span_m"), "case_id"
     ).select("fold", "iou", F.col("err_m").alias("distance"), F.col("span_m").alias("span"))
-    total = sc.headline(cases).withColumn("fold", F.lit(None).cast("int"))
-    return total.unionByName(sc.headline(cases, ["fold"])).select(
+    return sc.headline(cases, ["fold"], total=True).select(
         "fold", "n_cases", _r("pct_grt_0"), _r("mean_iou"), _r("median_iou"), _r("pct_grt_08"),
         _r("median_distance_m", 4), _r("acc_01d"),
     )

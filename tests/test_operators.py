@@ -21,6 +21,52 @@ def test_medians_are_exact(spark):
         assert got[k].median == (own[(n - 1) // 2] + own[n // 2]) / 2 and got[k].upper_median == own[n // 2]
 
 
+def _middle(values):
+    own = sorted(values)
+    return (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2, own[len(own) // 2]
+
+
+def test_medians_of_many_values_in_one_plan(spark):
+    rng = random.Random(8)
+    rows = [
+        (rng.choice([None, 1, 1, 1]), rng.lognormvariate(0, 40), rng.choice([None, rng.random(), math.inf]),
+         rng.choice([1e300, -1e300, 1.0 + rng.randint(0, 3) * 2.0**-52]))
+        for _ in range(30_000)
+    ]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    values = {"a": F.col("a"), "b": F.col("b"), "c": F.col("c"), "none": F.lit(None).cast("double")}
+    for rounds in (1, 3):
+        got = {r.k: r for r in stats.value_summaries(df, ["k"], values, [F.count("*").alias("rows")], rounds).collect()}
+        assert set(got) == {None, 1}
+        for k, line in got.items():
+            own = [r for r in rows if r[0] == k]
+            assert line.rows == len(own) and line.none_n == 0 and line.none_median is None
+            for i, name in enumerate("abc", start=1):
+                present = [r[i] for r in own if r[i] is not None]
+                assert line[f"{name}_n"] == len(present)
+                assert (line[f"{name}_median"], line[f"{name}_upper_median"]) == _middle(present)
+    whole = stats.value_summaries(df, [], values).collect()[0]
+    assert (whole.a_median, whole.a_upper_median) == _middle([r[1] for r in rows])
+
+
+def test_summaries_of_few_and_no_rows(spark):
+    two = spark.createDataFrame([(1.0,), (4.0,)], "v double")
+    line = stats.value_summary(two, [], "v").collect()[0]
+    assert (line.n, line.median, line.upper_median, line.min, line.max) == (2, 2.5, 4.0, 1.0, 4.0)
+    empty = two.where("v > 9")
+    line = stats.value_summary(empty, [], "v").collect()[0]
+    assert line.n == 0 and line.median is None
+    assert stats.value_summary(empty.withColumn("k", F.lit(1)), ["k"], "v").collect() == []
+
+
+def test_no_sort_sees_a_whole_bracket(spark):
+    df = spark.range(400_000).select((F.rand(3) * 1e6).alias("v"))
+    plan = stats.value_summaries(df, [], {"v": F.col("v"), "w": -F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    # by part: at most PARTS + 2 rows a value; by value: only inside a cell
+    assert windows and all("[_part#" in line or "_cell#" in line.split("], [")[-2] for line in windows)
+
+
 def test_two_level_rank_and_running_totals(spark):
     rng = random.Random(2)
     rows = [(rng.randint(0, 1), i, rng.randint(0, 9)) for i in range(3000)]
