@@ -76,7 +76,8 @@ def value_summaries(
     Values are taken as doubles and the medians are exact. The rows are scanned twice, for all values
     together: an aggregate with an approximate quantile of bounded size brackets each middle, then rows below
     and above the bracket and the distinct values in it are counted. Those counts are refined in `rounds`
-    rounds of PARTS equal parts, so a sort sees one part of the bracket and never all of it. NULL values are
+    rounds of PARTS equal parts, and a sort sees the distinct values of one part. Parts are equal in range, not
+    in rows: values that crowd in one part, or a bracket that ends at infinity, call for more rounds. NULL values are
     left out (a key without any has n 0 and NULL statistics), a NULL key is a key, infinity and NaN are the
     largest values; an empty table gives no row, or one with n 0 if there are no keys.
     """

@@ -59,7 +59,7 @@ def test_summaries_of_few_and_no_rows(spark):
     assert stats.value_summary(empty.withColumn("k", F.lit(1)), ["k"], "v").collect() == []
 
 
-def test_no_sort_sees_a_whole_bracket(spark):
+def test_windows_run_over_parts_or_inside_one(spark):
     df = spark.range(400_000).select((F.rand(3) * 1e6).alias("v"))
     plan = stats.value_summaries(df, [], {"v": F.col("v"), "w": -F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [" in line]
