@@ -5,9 +5,11 @@ slab have one order from bottom to top. Walking up that order and keeping track
 are open gives every area of the overlay; even-odd counting covers holes, parts and rings that
 cross themselves.
 
-The work runs as joins and windows keyed by (geometry, strip). A strip is a vertical band that
-holds a limited share of the edges, so one very large polygon is spread over many tasks. Edges are
-shuffled once: the crossing join, the slab window and the slab join all keep that partitioning.
+A union's work is keyed by (geometry, strip), a strip being a vertical band of the x range. An overlay's
+is keyed by cells: the pair is cut at quantiles of its corners' x, and each of these columns at
+quantiles of its own pieces' y. A cell is closed along the rows' borders wherever a polygon is open
+there, so it is a small overlay of its own and areas add up over cells. Edges of a cell are shuffled
+once: the crossing join, the slab window and the slab join all keep that partitioning.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from sitewise.functions import geo
 from sitewise.functions.geometry import edges
 from sitewise.operators.polygon import area, centroid
 
-STRIP_EDGES = 32
+STRIP_EDGES = 32  # edges a strip or a cell is meant to hold
+WHOLE = 2 * STRIP_EDGES  # pairs with no more corners need no cells
 
 
 def _oriented(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Edges as (g, ax, ay, bx, by) from left to right; vertical ones bound no slab."""
+    """Edges as (g, ax, ay, bx, by) from left to right."""
     flip = F.col("x1") < F.col("x0")
-    return df.where("x0 <> x1").select(
+    return df.select(
         *keep,
         F.when(flip, F.col("x1")).otherwise(F.col("x0")).alias("ax"),
         F.when(flip, F.col("y1")).otherwise(F.col("y0")).alias("ay"),
@@ -44,7 +47,8 @@ def layer_edges(layers: DataFrame, keys: Sequence[str], owner: str, geom: str) -
     """
     rows = edges(layers, [*keys, owner, "_n", "_min", "_max"], geom)
     rows = rows.withColumn("eid", F.struct("part", "ring", "pos"))
-    return _oriented(rows.withColumnRenamed(owner, "g"), [*keys, "g", "eid", "_n", "_min", "_max"])
+    # Vertical edges bound no slab.
+    return _oriented(rows.withColumnRenamed(owner, "g").where("x0 <> x1"), [*keys, "g", "eid", "_n", "_min", "_max"])
 
 
 def _y_at(p: str, x: Column) -> Column:
@@ -74,11 +78,13 @@ def slab_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     end = F.when(F.col("strip") == F.col("_s") - 1, F.col("_max")).otherwise(
         F.col("_min") + (F.col("strip") + 1) * F.col("_w")
     )
+    return _slabs(rows.withColumns({"lo": F.greatest("ax", start), "hi": F.least("bx", end)}).where("lo < hi"), by)
+
+
+def _slabs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, g, eid, xl, xr, yl, yr of pieces (lo to hi of an edge) that lie in one strip or cell each."""
     columns = ["g", "eid", "ax", "ay", "bx", "by", "lo", "hi"]
-    rows = (
-        rows.withColumns({"lo": F.greatest("ax", start), "hi": F.least("bx", end)})
-        .where("lo < hi").select(*by, *columns).repartition(*by)
-    )
+    rows = rows.select(*by, *columns).repartition(*by)
     # All three readers of the shuffled edges ask for the same columns, so it is read, not redone.
     a = rows.select(*by, *[F.col(c).alias(f"a_{c}") for c in columns])
     b = rows.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -107,24 +113,157 @@ def slab_edges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pair_edges(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    points = F.flatten(F.flatten(F.concat(F.col(a), F.col(b))))
+    xs = F.transform(points, lambda p: p["x"])
     layers = pairs.select(
         key, F.explode(F.array(F.struct(F.lit(0).alias("g"), F.col(a).alias("geom")),
                                F.struct(F.lit(1).alias("g"), F.col(b).alias("geom")))).alias("_l"),
-        *_extent(F.concat(F.col(a), F.col(b))),
+        F.size(points).alias("_n"), F.array_min(xs).alias("_min"), F.array_max(xs).alias("_max"),
     )
     return layer_edges(layers.select(key, "_l.*", "_n", "_min", "_max"), [key], "g", "geom")
 
 
-def _extent(geom: Column) -> list[Column]:
-    points = F.flatten(F.flatten(geom))
-    xs = F.transform(points, lambda p: p["x"])
-    return [F.size(points).alias("_n"), F.array_min(xs).alias("_min"), F.array_max(xs).alias("_max")]
+def _quantiles(values: Column, parts: Column) -> Column:
+    """Distinct inner values of an array at every share 1/parts, without its least."""
+    n = F.size(values)
+    ordered = F.filter(F.array_sort(values), lambda v, i: (i * parts) % n < parts)
+    return F.array_except(F.array_distinct(ordered), F.array(F.array_min(values)))
+
+
+def _pieces(pairs: DataFrame, key: str, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Edges cut at the columns of their pair, and upright edges with their column.
+
+    Pieces have key, strip, g, eid, the edge, lo, hi, left and right (sides of the column; NULL right
+    in the last); upright edges have key, strip, g, x, y0, y1.
+    """
+    flat = F.flatten(F.flatten(F.concat(F.col(a), F.col(b))))
+    # A column of its own, so that no lambda works the corners out again for every one of them.
+    pairs = pairs.select(key, a, b, F.transform(flat, lambda p: p["x"]).alias("_xs"))
+    n = F.size("_xs")
+    parts = F.ceil(F.sqrt(n / F.lit(STRIP_EDGES)))
+    about = [_quantiles(F.col("_xs"), parts).alias("_cuts"), F.array_min("_xs").alias("_min")]
+    owners = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(c).alias("geom")) for g, c in enumerate((a, b))]))
+    layers = pairs.select(key, owners.alias("_l"), *about).select(key, "_l.*", "_cuts", "_min")
+    keep = [key, "g", "_cuts", "_min"]
+    rows = edges(layers, keep).withColumn("eid", F.struct("part", "ring", "pos"))
+    rows = _oriented(rows, [*keep, "eid"])
+    first = F.size(F.filter("_cuts", lambda c: c <= F.col("ax")))
+    rows = rows.withColumns({
+        "_first": first, "_inner": F.filter("_cuts", lambda c: (c > F.col("ax")) & (c < F.col("bx"))),
+    })
+    side = F.coalesce(F.get("_cuts", F.col("strip") - 1), F.col("_min"))
+    stops = F.concat(F.array("ax"), "_inner", F.array("bx"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("_inner")), lambda k: F.struct(
+        (F.col("_first") + k).alias("strip"), F.get(stops, k).alias("lo"), F.get(stops, k + 1).alias("hi")))
+    cut = rows.where("ax < bx").withColumn("_p", F.explode(spans)).select("*", "_p.*")
+    cut = cut.select(key, "strip", "g", "eid", "ax", "ay", "bx", "by", "lo", "hi",
+                     side.alias("left"), F.get("_cuts", F.col("strip")).alias("right"))
+    upright = rows.where("ax = bx").withColumn("strip", F.col("_first"))
+    # At a column's left side the pieces that start there tell which polygons are open.
+    upright = upright.where(F.col("ax") > side)
+    return cut, upright.select(
+        key, "strip", "g", F.col("ax").alias("x"), F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1"))
+
+
+def _row_cuts(cut: DataFrame, uprights: DataFrame, by: list[str]) -> DataFrame:
+    """by, rows: heights between corners at which a column is cut, one for every STRIP_EDGES pieces."""
+    ends = cut.select(*by, F.explode(F.array("yl", "yr")).alias("y")).unionByName(
+        uprights.select(*by, F.explode(F.array("y0", "y1")).alias("y")))
+    heights = ends.groupBy(*by, "y").agg(F.count("*").alias("n"))
+    up = Window.partitionBy(*by).orderBy("y")
+    done = F.sum("n").over(up)
+    full = F.floor(done / (2 * STRIP_EDGES)) > F.floor((done - F.col("n")) / (2 * STRIP_EDGES))
+    heights = heights.withColumns({"_full": full, "_next": F.lead("y").over(up)})
+    middle = (F.col("y") + F.col("_next")) / 2
+    # A cut at no corner's height: every edge passes it or stays clear of it.
+    good = F.col("_full") & (middle > F.col("y")) & (middle < F.col("_next"))
+    return heights.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(good, middle))).alias("rows"))
+
+
+def _borders(toggles: DataFrame, pieces: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """Flat pieces along the rows' borders where a polygon is open there; each one closes the cell on either side.
+
+    What is open at the left end of a border is the parity of the pieces that start at the column's left side in
+    the rows below it, a running sum over rows; edges that pass the border change it from there on.
+    """
+    levels = cuts.select(*by, "left", "right", F.posexplode("rows").alias("j", "c")).withColumn("row", F.col("j") + 1)
+    both = levels.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1))))
+    starts = pieces.where("lo = left").groupBy(*by, "g", "row").agg(F.count("*").alias("n"))
+    ladder = both.select(*by, "g", "row", "left", "right", "c", F.lit(0).alias("n")).unionByName(
+        starts, allowMissingColumns=True)
+    below = Window.partitionBy(*by, "g").orderBy("row").rangeBetween(Window.unboundedPreceding, -1)
+    ladder = ladder.withColumn("n", F.coalesce(F.sum("n").over(below), F.lit(0))).where("c IS NOT NULL")
+    passing = toggles.where("x > left").select(*by, "g", "row", "left", "right", "c", "x")
+    events = passing.unionByName(ladder.where("n % 2 = 1").select(*by, "g", "row", "left", "right", "c", F.col("left").alias("x")))
+    along = Window.partitionBy(*by, "g", "row").orderBy("x")
+    spans = events.withColumns({
+        "_k": F.row_number().over(along), "hi": F.coalesce(F.lead("x").over(along), "right")
+    }).where("_k % 2 = 1 AND x < hi")
+    eid = F.struct(F.lit(-1).alias("part"), F.col("row").alias("ring"), F.col("_k").alias("pos"))
+    sides = F.explode(F.array(F.col("row") - 1, F.col("row")))
+    return spans.select(
+        *by, sides.alias("row"), "g", eid.alias("eid"), F.col("x").alias("ax"), F.col("c").alias("ay"), F.col("hi").alias("bx"),
+        F.col("c").alias("by"), F.col("x").alias("lo"), "hi")
+
+
+def cell_pieces(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, strip, row, g, eid, the edge, lo, hi: closed pieces of both geometries by cell.
+
+    A column has about the root of the pair's corners times that of STRIP_EDGES, and what passes through; a task
+    sorts their heights. A geometry is one row, so that is less than what one task held before.
+    """
+    by = [key, "strip"]
+    out = [*by, "row", "g", "eid", "ax", "ay", "bx", "by", "lo", "hi"]
+    cut, uprights = _pieces(pairs, key, a, b)
+    cut = cut.withColumns({"yl": _y_at("", F.col("lo")), "yr": _y_at("", F.col("hi"))})
+    sides = cut.groupBy(*by).agg(F.min("left").alias("left"), F.coalesce(F.min("right"), F.max("hi")).alias("right"))
+    cuts = sides.join(_row_cuts(cut, uprights, by), by)
+    cut = cut.drop("left", "right").join(cuts, by)
+    least, most = F.least("yl", "yr"), F.greatest("yl", "yr")
+    cut = cut.withColumns({
+        "_low": F.size(F.filter("rows", lambda c: c < least)),
+        "_cross": F.filter("rows", lambda c: (c > least) & (c < most)),
+    })
+    rising = F.col("yr") >= F.col("yl")
+    reach = F.size("_cross")
+    # The heights in the order in which the piece meets them, each with the x of the meeting.
+    met = F.when(rising, F.col("_cross")).otherwise(F.reverse("_cross"))
+    at = F.transform(met, lambda c: F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("lo") + (
+        F.col("hi") - F.col("lo")) * ((c - F.col("yl")) / F.nullif(F.col("yr") - F.col("yl"), F.lit(0.0))))))
+    cut = cut.withColumn("_stops", F.concat(F.array("lo"), at, F.array("hi")))
+    spans = F.transform(F.sequence(F.lit(0), reach), lambda k: F.struct(
+        (F.col("_low") + F.when(rising, k).otherwise(reach - k)).alias("row"),
+        F.get("_stops", k).alias("lo"), F.get("_stops", k + 1).alias("hi"), (k > 0).alias("_entered")))
+    pieces = cut.withColumn("_p", F.explode(spans)).drop("lo", "hi").select("*", "_p.*")
+    # A piece that follows another one of its edge has passed the border between their rows.
+    border = F.when(rising, F.col("row")).otherwise(F.col("row") + 1)
+    entered = pieces.where("_entered").withColumn("_b", border).select(
+        *by, "g", F.col("_b").alias("row"), "left", "right", F.get("rows", F.col("_b") - 1).alias("c"), F.col("lo").alias("x"))
+    walls = uprights.join(cuts, by).select(*by, "g", "left", "right", "x", "y0", "y1", F.posexplode("rows").alias("j", "c"))
+    walls = walls.where("y0 < c AND c < y1").select(
+        *by, "g", (F.col("j") + 1).alias("row"), "left", "right", "c", "x")
+    pieces = pieces.where("lo < hi")
+    closing = _borders(entered.unionByName(walls), pieces, cuts, by)
+    return pieces.select(*out).unionByName(closing.select(*out))
 
 
 def overlay_areas(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """key, area_a, area_b, area_both, area_any of the two geometries of each row; `key` is unique."""
-    pieces = slab_edges(_pair_edges(pairs, key, a, b), [key]).withColumn("ym", (F.col("yl") + F.col("yr")) / 2)
-    order = Window.partitionBy(key, "strip", "xl").orderBy("ym", "g", "eid")
+    """key, area_a, area_b, area_both, area_any of the two geometries of each row; `key` is unique.
+
+    Whether any pair is large enough for cells is looked up first, with one scan of the pairs: the stages that
+    cut cells cost more than the rest of the work where all pairs are small.
+    """
+    cell = ["_key", "strip", "row"]
+    corners = F.size(F.flatten(F.flatten(F.concat(F.col(a), F.col(b)))))
+    named = pairs.select(F.col(key).alias("_key"), a, b)
+    large = named.where(corners > WHOLE)
+    some = not large.isEmpty()
+    small = named.where(corners <= WHOLE) if some else named
+    pieces = slab_edges(_pair_edges(small, "_key", a, b), ["_key"]).withColumn("row", F.lit(0))
+    if some:
+        pieces = pieces.unionByName(_slabs(cell_pieces(large, "_key", a, b), cell))
+    pieces = pieces.withColumn("ym", (F.col("yl") + F.col("yr")) / 2)
+    order = Window.partitionBy(*cell, "xl").orderBy("ym", "g", "eid")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     open_a = F.sum(F.when(F.col("g") == 0, 1).otherwise(0)).over(upto) % 2 == 1
     open_b = F.sum(F.when(F.col("g") == 1, 1).otherwise(0)).over(upto) % 2 == 1
@@ -134,7 +273,7 @@ def overlay_areas(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     def total(flag: Column) -> Column:
         return F.coalesce(F.sum(F.when(flag, size)), F.lit(0.0))
 
-    return pieces.groupBy(key).agg(
+    return pieces.groupBy(F.col("_key").alias(key)).agg(
         total(F.col("ia")).alias("area_a"), total(F.col("ib")).alias("area_b"),
         total(F.col("ia") & F.col("ib")).alias("area_both"), total(F.col("ia") | F.col("ib")).alias("area_any"),
     )

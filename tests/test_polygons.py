@@ -59,8 +59,9 @@ def test_overlay_closed_forms(spark):
 def test_overlay_of_large_polygons_matches_a_grid(spark, monkeypatch):
     rng = random.Random(7)
     pairs = [([[star(rng, 150, 0, 0)]], [[star(rng, 170, 0.2, 0.1)]])]
-    for strip in (32, 10_000):
+    for strip in (8, 32, 10_000):
         monkeypatch.setattr(overlay, "STRIP_EDGES", strip)
+        monkeypatch.setattr(overlay, "WHOLE", 2 * strip)
         row = overlay.overlay_areas(pairs_frame(spark, pairs), "k", "a", "b").collect()[0]
         n, hit = 240, [0, 0, 0, 0]
         for i in range(n):
@@ -75,6 +76,58 @@ def test_overlay_of_large_polygons_matches_a_grid(spark, monkeypatch):
         assert row.area_any == pytest.approx(row.area_a + row.area_b - row.area_both)
 
 
+def shape_pairs():
+    """Pairs whose corners often share heights, sides and lines, with holes, parts and crossing rings."""
+    def dense(points, k):
+        out = []
+        for (x, y), (u, v) in zip(points, [*points[1:], points[0]]):
+            out += [(x + (u - x) * j / k, y + (v - y) * j / k) for j in range(k)]
+        return ring(out)
+
+    def box(x, y, w, h, k):
+        return dense([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], k)
+
+    frame = [[box(0, 0, 8, 8, 16), box(2, 2, 4, 4, 16)], [box(12, 0, 4, 2, 16)]]
+    bow = [[dense([(0, 0), (8, 8), (8, 0), (0, 8)], 16)], [box(13, 0, 4, 2, 16)]]
+    comb = [[ring([(k / 8, 10 * (k % 2)) for k in range(160)] + [(20, -1), (0, -1)])]]
+    flat = [[ring([(p["y"], p["x"]) for p in comb[0][0][:-1]])]]
+    return [(frame, bow), (comb, flat), (comb, [[box(3, 2, 5, 3, 3)]]), (frame, frame), (bow, comb)]
+
+
+def test_overlay_in_cells_equals_overlay_as_a_whole(spark, monkeypatch):
+    pairs = shape_pairs()
+    frame = pairs_frame(spark, pairs)
+    results = []
+    for strip in (2, 5, 16, 10_000):
+        monkeypatch.setattr(overlay, "STRIP_EDGES", strip)
+        monkeypatch.setattr(overlay, "WHOLE", 2 * strip)
+        rows = sorted(overlay.overlay_areas(frame, "k", "a", "b").collect())
+        results.append([v for r in rows for v in r])
+    assert results[-1][1:5] == pytest.approx([64 - 16 + 8, 32 + 8, 24 + 6, 56 + 40 - 30])
+    for other in results[:-1]:
+        assert other == pytest.approx(results[-1], abs=1e-9)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_cells_of_a_coastline_are_small(spark, turned):
+    """An upright coastline of 20,000 corners, which strips alone leave to one task, and a level one."""
+    rng = random.Random(3)
+    coast, x = [], 0.0
+    for k in range(20_000):
+        x = min(1.0, max(-1.0, x + rng.uniform(-0.05, 0.05)))
+        coast.append((x, k / 100))
+    points = [*coast, (30.0, 199.99), (30.0, 0.0)]
+    land = [[ring([(y, x) for x, y in points] if turned else points)]]
+    frame = pairs_frame(spark, [(land, [[square(-5, -5, 300)]])])
+    cells = overlay.cell_pieces(frame, "k", "a", "b").groupBy("k", "strip", "row").count()
+    most = cells.agg(F.max("count")).collect()[0][0]
+    assert most < 8 * overlay.STRIP_EDGES
+    row = overlay.overlay_areas(frame, "k", "a", "b").collect()[0]
+    size = abs(sum(p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(land[0][0], land[0][0][1:]))) / 2
+    assert row.area_a == pytest.approx(size) and row.area_both == pytest.approx(size)
+    assert row.area_any == pytest.approx(90_000)
+
+
 def test_centroid_with_hole_and_parts(spark):
     geom = [[square(0, 0, 4), square(2, 0.5, 1)], [square(10, 0, 2)]]
     row = spark.createDataFrame([(geom,)], f"g {MULTI}").select(centroid(F.col("g")).alias("c"), area(F.col("g")).alias("a")).collect()[0]
