@@ -96,7 +96,8 @@ def _slabs(rows: DataFrame, by: list[str]) -> DataFrame:
     )
     itself = order_a == order_b
     lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
-    pairs = a.join(b, same & (itself | ((order_a < order_b) & meet & level)))
+    # Joins by hint: the planner takes exploded edges for few bytes and would send whole tables to the driver.
+    pairs = a.join(b.hint("merge"), same & (itself | ((order_a < order_b) & meet & level)))
     pairs = pairs.select(*by, "a_lo", "a_hi", itself.alias("itself"), lo.alias("lo"), hi.alias("hi"),
                          (_y_at("a_", lo) - _y_at("b_", lo)).alias("d0"),
                          (_y_at("a_", hi) - _y_at("b_", hi)).alias("d1"))
@@ -106,7 +107,7 @@ def _slabs(rows: DataFrame, by: list[str]) -> DataFrame:
     )
     following = F.lead("xl").over(Window.partitionBy(*by).orderBy("xl"))
     slabs = breaks.withColumn("xr", following).where("xr > xl")
-    cut = rows.join(slabs, by).where("lo <= xl AND hi >= xr")
+    cut = rows.join(slabs.hint("merge"), by).where("lo <= xl AND hi >= xr")
     return cut.select(
         *by, "g", "eid", "xl", "xr", _y_at("", F.col("xl")).alias("yl"), _y_at("", F.col("xr")).alias("yr")
     )

@@ -14,7 +14,7 @@ SNAP = 9  # decimals at which two computed crossing heights are the same point
 
 
 def _boundary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Directed pieces of the union's outline, interior on the left: keys, ax, ay, bx, by."""
+    """Pieces of the union's outline along its edges: keys, xl, xr, yl, yr, lower (covered above it)."""
     pieces = slab_edges(rows, keys).withColumn("ym", (F.col("yl") + F.col("yr")) / 2)
     slab = [*keys, "strip", "xl"]
     own = F.row_number().over(Window.partitionBy(*slab, "g").orderBy("ym", "eid"))
@@ -25,36 +25,29 @@ def _boundary(rows: DataFrame, keys: list[str]) -> DataFrame:
     pieces = pieces.withColumn("_cover", F.sum("_step").over(upto))
     bottom = (F.col("_step") == 1) & (F.col("_cover") == 1)
     top = (F.col("_step") == -1) & (F.col("_cover") == 0)
-    edges = pieces.where(bottom | top).select(
+    return pieces.where(bottom | top).select(
         *keys, "xl", "xr", F.round("yl", SNAP).alias("yl"), F.round("yr", SNAP).alias("yr"), bottom.alias("lower")
     )
-    along = edges.select(
-        *keys,
-        F.when(F.col("lower"), F.col("xl")).otherwise(F.col("xr")).alias("ax"),
-        F.when(F.col("lower"), F.col("yl")).otherwise(F.col("yr")).alias("ay"),
-        F.when(F.col("lower"), F.col("xr")).otherwise(F.col("xl")).alias("bx"),
-        F.when(F.col("lower"), F.col("yr")).otherwise(F.col("yl")).alias("by"),
-    )
+
+
+def closed_pieces(xl, xr, yl, yr, lower) -> list[tuple[float, float, float, float]]:
+    """Directed pieces ax, ay, bx, by of one outline, interior on the left, upright ones added."""
+    pieces, net = [], {}
+    for x0, x1, y0, y1, low in zip(xl, xr, yl, yr, lower):
+        pieces.append((x0, y0, x1, y1) if low else (x1, y1, x0, y0))
+        d = 1 if low else -1
+        left, right = net.setdefault(x0, {}), net.setdefault(x1, {})
+        left[y0] = left.get(y0, 0) - d
+        right[y1] = right.get(y1, 0) + d
     # At a breakpoint the covered intervals left and right of it may differ: where only the left
     # side is covered the outline runs up, where only the right side is covered it runs down.
-    ends = edges.select(
-        *keys,
-        F.explode(F.array(
-            F.struct(F.col("xl").alias("x"), F.col("yl").alias("y"), F.when(F.col("lower"), -1).otherwise(1).alias("d")),
-            F.struct(F.col("xr").alias("x"), F.col("yr").alias("y"), F.when(F.col("lower"), 1).otherwise(-1).alias("d")),
-        )).alias("_e"),
-    ).select(*keys, "_e.*")
-    net = ends.groupBy(*keys, "x", "y").agg(F.sum("d").alias("d"))
-    column = Window.partitionBy(*keys, "x").orderBy("y")
-    walls = net.withColumns({
-        "level": F.sum("d").over(column.rowsBetween(Window.unboundedPreceding, 0)), "y2": F.lead("y").over(column)
-    }).where("level <> 0 AND y2 IS NOT NULL")
-    up = F.col("level") > 0
-    upright = walls.select(
-        *keys, F.col("x").alias("ax"), F.when(up, F.col("y")).otherwise(F.col("y2")).alias("ay"),
-        F.col("x").alias("bx"), F.when(up, F.col("y2")).otherwise(F.col("y")).alias("by"),
-    )
-    return along.unionByName(upright)
+    for x, steps in net.items():
+        level, heights = 0, sorted(steps)
+        for y, above in zip(heights, heights[1:]):
+            level += steps[y]
+            if level:
+                pieces.append((x, y, x, above) if level > 0 else (x, above, x, y))
+    return pieces
 
 
 def _area2(ring: list[tuple[float, float]]) -> float:
@@ -128,10 +121,10 @@ def chain_rings(pieces: list[tuple[float, float, float, float]]) -> list[list[li
 
 
 @F.pandas_udf(ArrayType(ArrayType(ArrayType(ArrayType(DoubleType())))))
-def _chain_udf(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+def _chain_udf(xl: pd.Series, xr: pd.Series, yl: pd.Series, yr: pd.Series, lower: pd.Series) -> pd.Series:
     return pd.Series(
-        [[[[list(p) for p in ring] for ring in poly] for poly in chain_rings(list(zip(*map(list, row))))]
-         for row in zip(ax, ay, bx, by)]
+        [[[[list(p) for p in ring] for ring in poly] for poly in chain_rings(closed_pieces(*(c.tolist() for c in row)))]
+         for row in zip(xl, xr, yl, yr, lower)]
     )
 
 
@@ -148,14 +141,15 @@ def union_geometries(parts: DataFrame, key: str, part_id: str, geom: str = "geom
         F.count("*").alias("_k"), F.sum(F.size(flat)).alias("_n"), F.min(F.array_min(xs)).alias("_min"),
         F.max(F.array_max(xs)).alias("_max"),
     )
-    sized = parts.join(extent, key)
+    # Merged by hint: the planner takes exploded corners for few bytes and would send whole tables to the driver.
+    sized = parts.join(extent.hint("merge"), key)
     single = sized.where("_k = 1").select(key, F.col(geom).alias("geom"))
     many = sized.where("_k > 1").withColumn("g", F.col(part_id))
     outline = _boundary(layer_edges(many.select(key, "g", "_n", "_min", "_max", geom), [key], "g", geom), [key])
     # Small outlines, costly chaining: spread over all shuffle partitions.
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = outline.groupBy(key).agg(*[F.collect_list(c).alias(c) for c in ("ax", "ay", "bx", "by")]).repartition(n)
-    chained = whole.select(key, _chain_udf("ax", "ay", "bx", "by").alias("_g"))
+    whole = outline.groupBy(key).agg(*[F.collect_list(c).alias(c) for c in ("xl", "xr", "yl", "yr", "lower")]).repartition(n)
+    chained = whole.select(key, _chain_udf("xl", "xr", "yl", "yr", "lower").alias("_g"))
     merged = chained.select(
         key,
         F.transform("_g", lambda poly: F.transform(poly, lambda ring: F.transform(
