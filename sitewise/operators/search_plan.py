@@ -17,6 +17,11 @@ WINDOW_TARGET = 100
 MIN_STRIDE = 32
 
 
+def spread_maps(maps: DataFrame) -> DataFrame:
+    """The maps dealt to all shuffle partitions: a map is a few bytes in a file and hundreds of windows or tiles."""
+    return maps.repartition(int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "map_id")
+
+
 def search_configs(maps: DataFrame, dpi: int = 200) -> DataFrame:
     """map columns plus pos, zoom, mpp. `maps` has map_id, scale (NULL = unknown) and lat.
 
@@ -24,8 +29,12 @@ def search_configs(maps: DataFrame, dpi: int = 200) -> DataFrame:
     one tries each canonical scale that opens a new zoom, then the stretched modal scale.
     """
     lat = F.col("lat")
-    mpp = geo.map_mpp(F.col("scale"), dpi)
-    best = geo.best_zoom(mpp, lat)
+    # Columns of their own, so that no branch or lambda works a zoom out again.
+    canonical = [geo.map_mpp(F.lit(s), dpi) for s in SCALES]
+    rows = maps.withColumn("_mpp", geo.map_mpp(F.col("scale"), dpi))
+    rows = rows.withColumns({"_best": geo.best_zoom(F.col("_mpp"), lat)} | {
+        f"_z{i}": geo.best_zoom(value, lat) for i, value in enumerate(canonical)})
+    mpp, best = F.col("_mpp"), F.col("_best")
 
     def config(zoom: Column, value: Column) -> Column:
         return F.struct(zoom.cast("int").alias("zoom"), value.cast("double").alias("mpp"))
@@ -36,19 +45,18 @@ def search_configs(maps: DataFrame, dpi: int = 200) -> DataFrame:
     known = F.concat(
         F.transform(zooms, lambda z: config(z, mpp)), F.array(*[config(best, mpp * s) for s in STRETCH])
     )
-    canonical = [(geo.best_zoom(geo.map_mpp(F.lit(s), dpi), lat), geo.map_mpp(F.lit(s), dpi)) for s in SCALES]
     fresh = []
-    for i, (zoom, value) in enumerate(canonical):
+    for i, value in enumerate(canonical):
         opened = F.lit(True)
-        for earlier, _ in canonical[:i]:
-            opened = opened & (earlier != zoom)
-        fresh.append(F.when(opened, config(zoom, value)))
-    modal = geo.map_mpp(F.lit(MODAL_SCALE), dpi)
+        for earlier in range(i):
+            opened = opened & (F.col(f"_z{earlier}") != F.col(f"_z{i}"))
+        fresh.append(F.when(opened, config(F.col(f"_z{i}"), value)))
+    modal = SCALES.index(MODAL_SCALE)
     unknown = F.concat(
-        F.array_compact(F.array(*fresh)), F.array(*[config(geo.best_zoom(modal, lat), modal * s) for s in STRETCH])
+        F.array_compact(F.array(*fresh)), F.array(*[config(F.col(f"_z{modal}"), canonical[modal] * s) for s in STRETCH])
     )
     chosen = F.when(F.col("scale").isNull(), unknown).otherwise(known)
-    return maps.select(*maps.columns, F.posexplode(chosen).alias("pos", "_c")).select(
+    return rows.select(*maps.columns, F.posexplode(chosen).alias("pos", "_c")).select(
         *maps.columns, "pos", "_c.zoom", "_c.mpp"
     )
 

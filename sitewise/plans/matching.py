@@ -204,7 +204,7 @@ def search_configs(i: Inputs):
 
 
 def _grids(i: Inputs):
-    return search_plan.tile_grids(search_plan.search_configs(_maps(i)))
+    return search_plan.tile_grids(search_plan.search_configs(search_plan.spread_maps(_maps(i))))
 
 
 @query("tile_grids", sql=f"""WITH {_GRIDS}
@@ -223,7 +223,7 @@ def tile_grids(i: Inputs):
     FROM (SELECT *, unnest(range(0, fx + 1, sx)) AS x FROM (SELECT *, unnest(range(0, fy + 1, sy)) AS y FROM s)) GROUP BY map_id, zoom, mpp""")
 def search_windows(i: Inputs):
     """Windows per search setting."""
-    w = search_plan.search_windows(_grids(i)).withColumn("mpp", F.round("mpp", 9))
+    w = search_plan.search_windows(_grids(i).withColumn("mpp", F.round("mpp", 9)))
     return w.groupBy("map_id", "zoom", "mpp").agg(
         F.count("*").alias("n_windows"), F.max("window_x").alias("last_x"), F.max("window_y").alias("last_y")
     )
@@ -231,7 +231,7 @@ def search_windows(i: Inputs):
 
 @query("grid_tiles", sql=f"""WITH {_GRIDS} SELECT map_id, zoom, round(mpp, 9) AS mpp, CAST(nx * ny AS BIGINT) AS n_tiles FROM gr""")
 def grid_tiles(i: Inputs):
-    tiles = search_plan.tiles_of_grid(_grids(i)).withColumn("mpp", F.round("mpp", 9))
+    tiles = search_plan.tiles_of_grid(_grids(i).withColumn("mpp", F.round("mpp", 9)))
     return tiles.groupBy("map_id", "zoom", "mpp").agg(F.count("*").alias("n_tiles"))
 
 

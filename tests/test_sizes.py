@@ -1,5 +1,7 @@
 """Plans and results that must hold on tables larger than the smallest ones."""
 
+import pytest
+
 import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -11,3 +13,9 @@ def _plan(df) -> str:
 
 def test_union_sends_no_table_to_the_driver(spark):
     assert "BroadcastExchange" not in _plan(entry.queries()["polygon_union"](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("name", ["tile_grids", "search_windows", "grid_tiles"])
+def test_grids_of_one_small_file_run_in_many_tasks(spark, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    assert df.rdd.getNumPartitions() > 1
