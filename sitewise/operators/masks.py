@@ -34,13 +34,15 @@ def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     by = list(keys)
     starts = runs.where("x_end > x_start").groupBy(*by, "x_start").agg(F.max("x_end").alias("x_end"))
-    before = Window.partitionBy(*by).orderBy("x_start").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.col("x_start") > F.max("x_end").over(before), F.lit(True)).cast("int")
-    island = F.sum("_new").over(Window.partitionBy(*by).orderBy("x_start"))
-    marked = starts.withColumn("_new", opened).withColumn("_island", island)
-    return marked.groupBy(*by, "_island").agg(
-        F.min("x_start").alias("x_start"), F.max("x_end").alias("x_end")
-    ).drop("_island")
+    order = Window.partitionBy(*by).orderBy("x_start")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = starts.withColumns({
+        "_before": F.max("x_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_last": F.max("x_end").over(whole),
+    })
+    # A merged run ends where the runs before the next one reach; one sort serves both windows.
+    opening = marked.where("_before IS NULL OR x_start > _before")
+    end = F.coalesce(F.lead("_before").over(order), "_last")
+    return opening.select(*by, "x_start", end.alias("x_end"))
 
 
 def mask_confusion(runs: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
@@ -184,18 +186,18 @@ def _raster(ys, starts, ends, height: int, width: int, pad: int = 0) -> np.ndarr
 def _gathered(runs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per mask with its merged runs as three arrays: at most one page image each.
 
-    Images are spread over all shuffle partitions: the runs are small, the work on them is not.
+    Runs are few bytes and the work on them is not: callers spread masks before their runs are made, and
+    every stage here keeps that.
     """
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = merge_runs(runs, [*keys, "row_no"])
-    return merged.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in ("row_no", "x_start", "x_end")]).repartition(n)
+    return merged.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in ("row_no", "x_start", "x_end")])
 
 
 # The eight neighbours (dx, dy), clockwise on a page with y pointing down.
 _AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
 
-def _follow(grid: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
+def _follow(grid: Sequence[Sequence[int]], x: int, y: int) -> list[tuple[int, int]]:
     """Outer border of the component whose topmost, leftmost pixel is (x, y)."""
     path, here, facing = [(x, y)], (x, y), 0
     first_step = None
@@ -203,7 +205,7 @@ def _follow(grid: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
         for turn in range(8):
             d = (facing + 5 + turn) % 8
             nx, ny = here[0] + _AROUND[d][0], here[1] + _AROUND[d][1]
-            if grid[ny, nx]:
+            if grid[ny][nx]:
                 break
         else:
             return path
@@ -229,25 +231,35 @@ def _corners(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _outlines(ys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Outlines of the outermost 8-connected components of one mask."""
+    """Outlines of the outermost 8-connected components of one mask, given as merged runs."""
     top, left = int(ys.min()), int(starts.min())
     height, width = int(ys.max()) - top + 1, int(ends.max()) - left
-    grid = _raster(ys - top, starts - left, ends - left, height, width, pad=1)
-    outside = _outside(grid, True)
-    rows = [_row_spans(line) for line in grid]
+    rows: list[list[tuple[int, int]]] = [[] for _ in range(height + 2)]
+    grid = [bytearray(width + 2) for _ in rows]
+    for y, s, e in sorted(zip((ys - top + 1).tolist(), (starts - left + 1).tolist(), (ends - left + 1).tolist())):
+        rows[y].append((s, e))
+        grid[y][s:e] = b"\x01" * (e - s)
     labels = _components(rows, 1)
     start: dict[int, tuple[int, int]] = {}
-    open_to_page: set[int] = set()
     for y, spans in enumerate(rows):
-        for (s, e), label in zip(spans, labels[y]):
+        for (s, _), label in zip(spans, labels[y]):
             start.setdefault(label, (s, y))
+    if len(start) > 1:
+        start = _open_to_page(rows, labels, start, _raster(ys - top, starts - left, ends - left, height, width, pad=1))
+    return [
+        [(px - 1 + left, py - 1 + top) for px, py in _corners(_follow(grid, x, y))] for x, y in start.values()
+    ]
+
+
+def _open_to_page(rows, labels, start: dict[int, tuple[int, int]], grid: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Of several components, those that the background around the page touches; a single one always is."""
+    outside = _outside(grid, True)
+    found: set[int] = set()
+    for y, spans in enumerate(rows):
+        for (s, e), label in zip(spans, labels[y]):
             if outside[y - 1, s:e].any() or outside[y + 1, s:e].any() or outside[y, s - 1] or outside[y, e]:
-                open_to_page.add(label)
-    found = []
-    for label, (x, y) in start.items():
-        if label in open_to_page:
-            found.append([(px - 1 + left, py - 1 + top) for px, py in _corners(_follow(grid, x, y))])
-    return found
+                found.add(label)
+    return {label: at for label, at in start.items() if label in found}
 
 
 @F.pandas_udf(ArrayType(ArrayType(ArrayType(DoubleType()))))
@@ -272,7 +284,7 @@ def project_outlines(rings: DataFrame, affines: DataFrame) -> DataFrame:
 
     `affines` has mask_id, a00..a12, zoom, tx_min, ty_min.
     """
-    joined = rings.join(affines, "mask_id")
+    joined = rings.join(affines.hint("merge"), "mask_id")
     a = [F.col(c) for c in ("a00", "a01", "a02", "a10", "a11", "a12")]
 
     def project(p: Column) -> Column:

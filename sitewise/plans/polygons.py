@@ -13,15 +13,21 @@ from sitewise.operators.polygon import area, centroid, nearest_part_error_km, sp
 from sitewise.plans import sqlgeo
 from sitewise.plans.bindings import Inputs
 from sitewise.plans.registry import query
+from sitewise.session import spread
 
 
 def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
 
-def quad_pairs(i: Inputs, degrees: bool = False, unit: float = 1.0):
-    """case_id, truth, predicted and the binding's columns; optionally on a small box of degrees."""
+MASKS_PER_TASK, RUNS_PER_TASK = 1 << 15, 1 << 20  # a mask of these queries has some 30 to 60 runs
+
+
+def quad_pairs(i: Inputs, degrees: bool = False, unit: float = 1.0, per_task: int = 0):
+    """case_id, truth, predicted and the binding's columns; optionally on a small box of degrees, or spread."""
     q = i.bind("case_quad")
+    if per_task:
+        q = spread(q, "case_id", rows_per_task=per_task)
 
     def quad(ox, oy):
         w, h, s = F.col("w"), F.col("h"), F.col("skew")
@@ -178,7 +184,8 @@ def mask_confusion_by_shape(i: Inputs):
 
 @query("merged_runs", "mask_run", sql=f"WITH {_MERGED} SELECT mask_id, which, row_no, s AS x_start, e AS x_end FROM mr")
 def merged_runs(i: Inputs):
-    return masks.merge_runs(i.bind("mask_run"), ["mask_id", "which", "row_no"])
+    keys = ["mask_id", "which", "row_no"]
+    return masks.merge_runs(spread(i.bind("mask_run"), *keys, rows_per_task=RUNS_PER_TASK), keys)
 
 
 @query("polygon_fill", "case_quad", sql="""WITH
@@ -194,17 +201,17 @@ def polygon_fill(i: Inputs):
 @query("mask_outlines", "case_quad", sql="SELECT case_id AS mask_id, 1 AS n_parts, true AS inside FROM case_quad")
 def mask_outlines(i: Inputs):
     """Masks traced and projected through an affine; the outline must lie in the mask's own tile box."""
-    sides = edges(quad_pairs(i).select("case_id", F.col("truth").alias("geom")), ["case_id"])
+    q = quad_pairs(i, per_task=MASKS_PER_TASK)
+    sides = edges(q.select("case_id", F.col("truth").alias("geom")), ["case_id"])
     runs = masks.fill_polygons(sides, ["case_id"]).withColumnRenamed("case_id", "mask_id")
     rings = masks.trace_outlines(runs)
-    q = i.bind("case_quad")
     affines = q.select(
         F.col("case_id").alias("mask_id"), *[F.lit(v).alias(n) for n, v in zip(("a00", "a01", "a02", "a10", "a11", "a12"), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))],
         F.lit(17).alias("zoom"), F.lit(65000).alias("tx_min"), F.lit(43000).alias("ty_min"), "tx", "ty", "w", "h", "skew",
     )
     shapes = masks.project_outlines(rings, affines).withColumn("b", bounds(F.col("geom")))
     zoom, x0, y0 = F.lit(17), F.lit(65000), F.lit(43000)
-    joined = shapes.join(affines.select("mask_id", "tx", "ty", "w", "h", "skew"), "mask_id")
+    joined = shapes.join(affines.select("mask_id", "tx", "ty", "w", "h", "skew").hint("merge"), "mask_id")
     ok = (
         (F.col("b.minx") >= geo.pixel_lon(F.col("tx") - 1, zoom, x0)) & (F.col("b.maxx") <= geo.pixel_lon(F.col("tx") + F.col("w") + F.col("skew"), zoom, x0))
         & (F.col("b.maxy") <= geo.pixel_lat(F.col("ty") - 1, zoom, y0)) & (F.col("b.miny") >= geo.pixel_lat(F.col("ty") + F.col("h"), zoom, y0))
@@ -216,7 +223,7 @@ def mask_outlines(i: Inputs):
     SELECT c_custkey AS mask_id, CAST((20 + c_custkey % 9) * (24 + c_custkey % 7) AS BIGINT) AS n_pixels FROM customer""")
 def outline_fill(i: Inputs):
     """Drawn frames filled to regions: one frame per customer on a 60 x 70 page."""
-    c = i.table("customer").select(
+    c = spread(i.table("customer").select("c_custkey"), "c_custkey", rows_per_task=MASKS_PER_TASK).select(
         F.col("c_custkey").alias("mask_id"), (20 + F.col("c_custkey") % 9).cast("int").alias("h"),
         (24 + F.col("c_custkey") % 7).cast("int").alias("w"), F.lit(60).alias("height"), F.lit(70).alias("width"),
     )

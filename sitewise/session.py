@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sitewise", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(path)
     return path
+
+
+def spread(df: DataFrame, *keys: str, rows_per_task: int) -> DataFrame:
+    """df dealt by keys to as many tasks as its rows ask for, so that what one task holds doesn't grow with the table.
+
+    Counts df once, so it belongs on a table or a plain view of one, before rows are multiplied; groupings and
+    windows whose keys contain these keep the partitioning.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows_per_task)), *keys)

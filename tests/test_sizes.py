@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sitewise.operators import search
+from sitewise.session import spread
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -32,3 +33,20 @@ def test_exact_search_grows_with_the_queries(spark):
     assert rows == {(q, 0, 90) if q % 2 else (q, 90, 10) for q in range(20)} and found.count() == 20
     # Membership gives back every pair of a query and a place.
     assert found.join(search.name_classes(places), "class_id").count() == 10 * 90 + 10 * 10
+
+
+def test_runs_merge_in_one_shuffle_and_one_sort(spark):
+    plan = _plan(entry.queries()["merged_runs"](spark, SF_DIR))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_tasks_grow_with_the_rows(spark):
+    assert spread(spark.range(1000), "id", rows_per_task=20).rdd.getNumPartitions() == 50
+    assert spread(spark.range(0), "id", rows_per_task=20).rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("name, shuffles", [("outline_fill", 1), ("mask_outlines", 3)])
+def test_masks_are_shuffled_before_they_are_drawn(spark, name, shuffles):
+    plan = _plan(entry.queries()[name](spark, SF_DIR))
+    # The one more of mask_outlines and outline_fill deals finished shapes.
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == shuffles and plan.count("Exchange") == shuffles + 1
