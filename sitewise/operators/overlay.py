@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions import geo
 from sitewise.functions.geometry import edges
-from sitewise.operators.polygon import area, centroid
+from sitewise.operators.polygon import area_centroid
 
 STRIP_EDGES = 32  # edges a strip or a cell is meant to hold
 WHOLE = 2 * STRIP_EDGES  # pairs with no more corners need no cells
@@ -291,14 +291,12 @@ def score_pairs(pairs: DataFrame, key: str, truth: str, predicted: str) -> DataF
     def share(whole: str) -> Column:
         return F.coalesce(F.try_divide(F.col("area_both"), F.col(whole)), F.lit(0.0))
 
-    measured = pairs.withColumns(
-        {"_ct": centroid(F.col(truth)), "_cp": centroid(F.col(predicted)),
-         "_at": area(F.col(truth)), "_ap": area(F.col(predicted))}
-    ).join(areas, key, "left")
+    measured = pairs.withColumns({"_t": area_centroid(F.col(truth)), "_p": area_centroid(F.col(predicted))})
+    measured = measured.join(areas.hint("merge"), key, "left")
     # Ring areas and even-odd areas differ only where a ring crosses itself.
-    off = F.greatest(F.abs(F.col("_at") - F.col("area_a")), F.abs(F.col("_ap") - F.col("area_b")))
+    off = F.greatest(F.abs(F.col("_t.area") - F.col("area_a")), F.abs(F.col("_p.area") - F.col("area_b")))
     found = F.col("area_any").isNotNull()
-    distance = geo.haversine_m(F.col("_ct.y"), F.col("_ct.x"), F.col("_cp.y"), F.col("_cp.x"))
+    distance = geo.haversine_m(F.col("_t.c.y"), F.col("_t.c.x"), F.col("_p.c.y"), F.col("_p.c.x"))
     return measured.select(
         *pairs.columns,
         F.when(found, share("area_any")).alias("iou"),

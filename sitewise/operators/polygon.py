@@ -69,6 +69,22 @@ def centroid(geom: Column) -> Column:
     return F.coalesce(exact, mean)
 
 
+def area_centroid(geom: Column) -> Column:
+    """Struct of area and centroid (c) from one pass over the corners, where both are asked for."""
+    points = F.flatten(F.flatten(geom))
+
+    def mean(axis: str) -> Column:
+        return F.try_divide(F.aggregate(points, F.lit(0.0), lambda a, p: a + p[axis]), F.size(points))
+
+    def both(m: Column) -> Column:
+        solid = m["a"] != 0
+        return F.struct(m["a"].alias("area"), F.struct(
+            F.when(solid, m["mx"] / m["a"]).otherwise(mean("x")).alias("x"),
+            F.when(solid, m["my"] / m["a"]).otherwise(mean("y")).alias("y")).alias("c"))
+
+    return _moments(geom, both)
+
+
 def part_centroids(geom: Column) -> Column:
     return F.transform(geom, lambda poly: centroid(F.array(poly)))
 

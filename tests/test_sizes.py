@@ -1,10 +1,13 @@
 """Plans and results that must hold on tables larger than the smallest ones."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitewise.operators import search
+from sitewise.functions.geometry import MULTI
+from sitewise.operators import polygon, search
 from sitewise.session import spread
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -50,3 +53,17 @@ def test_masks_are_shuffled_before_they_are_drawn(spark, name, shuffles):
     plan = _plan(entry.queries()[name](spark, SF_DIR))
     # The one more of mask_outlines and outline_fill deals finished shapes.
     assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == shuffles and plan.count("Exchange") == shuffles + 1
+
+
+def test_area_and_centroid_in_one_pass_equal_both(spark):
+    shapes = ["[[[{0,0},{4,0},{4,3},{0,0}],[{2,0.5},{3,0.5},{3,1},{2,0.5}]]]", "[[[{1,1},{2,2},{3,3},{1,1}]]]", "null"]
+    texts = [re.sub(r"\{([\d.]+),([\d.]+)\}", r'{"x":\1,"y":\2}', t) for t in shapes]
+    g = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", F.from_json("t", MULTI).alias("g"))
+    both = g.select("k", polygon.area_centroid(F.col("g")).alias("b"), polygon.area(F.col("g")).alias("a"), polygon.centroid(F.col("g")).alias("c"))
+    rows = both.orderBy("k").collect()
+    assert rows[0].a == 5.75 and (rows[0].b.area, rows[0].b.c) == (rows[0].a, rows[0].c) and rows[1].b.c == rows[1].c
+    assert [(r.b.area if r.b else None) for r in rows] == [r.a for r in rows]
+
+
+def test_overlay_sends_no_table_to_the_driver(spark):
+    assert "BroadcastExchange" not in _plan(entry.queries()["polygon_overlay"](spark, SF_DIR))
