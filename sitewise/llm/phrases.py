@@ -181,7 +181,7 @@ def _windows(docs: DataFrame, often: np.ndarray, rule: Mining) -> DataFrame:
 
     A window goes on to the end of its piece, or for as long as the filter does not know its words
     to be a rare run; '' pads it. Equal windows of a task are counted together while they are at
-    most ENOUGH.
+    most ENOUGH in all languages, also where the words known are forgotten in between.
     """
     have, shared = len(often), docs.sparkSession.sparkContext.broadcast(often.tobytes())
 
@@ -196,7 +196,10 @@ def _windows(docs: DataFrame, often: np.ndarray, rule: Mining) -> DataFrame:
 
         for known, langs in _chunks(batches):
             if known is not last:
-                yield from [batch(lang) for lang in list(held)]
+                for lang, (columns, times) in held.items():
+                    used, place = np.unique(np.concatenate(columns), return_inverse=True)
+                    numbers = np.array([known[last.names[i]] if i else 0 for i in used], np.int64)
+                    held[lang] = np.split(numbers[place], LONGEST), times
                 last = known
             for lang, numbers in langs.items():
                 padded = np.append(numbers, np.zeros(LONGEST, np.int64))
@@ -210,8 +213,8 @@ def _windows(docs: DataFrame, often: np.ndarray, rule: Mining) -> DataFrame:
                     old, before = held[lang]
                     columns, times = _distinct([np.append(a, b) for a, b in zip(old, columns, strict=True)], np.append(before, times))
                 held[lang] = columns, times
-                if len(times) > ENOUGH:
-                    yield batch(lang)
+                if sum(len(times) for _, times in held.values()) > ENOUGH:
+                    yield batch(max(held, key=lambda lang: len(held[lang][1])))
         yield from [batch(lang) for lang in list(held)]
 
     schema = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", c long"
@@ -223,6 +226,15 @@ def _joined(first: int, last: int) -> Column:
     return F.concat_ws(" ", *[F.when(F.col(w) != "", F.col(w)) for w in WORDS[first - 1 : last]])
 
 
+def _together(docs: DataFrame) -> DataFrame:
+    """docs in at most one task per core, without a shuffle.
+
+    Every task sends its own counts of the frequent words and windows, and most tasks meet most of them. With a task
+    per file split, the rows sent were splits times windows, and both of these grow with the corpus.
+    """
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def phrase_counts(docs: DataFrame, rule: Mining = Mining(), text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, w1 .. w5, k, phrase, f of every n-gram of up to 5 words with f >= rule.least; words n per language).
 
@@ -233,6 +245,7 @@ def phrase_counts(docs: DataFrame, rule: Mining = Mining(), text_col: str = "tex
     so no count that is returned misses an occurrence.
     """
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    source = _together(source)
     often, totals = _filter(source, rule, np.zeros((0, (1 << rule.bits) // 8), np.uint8))
     often, _ = _filter(source, rule, often)
     windows = _windows(source, often, rule).groupBy("lang", *WORDS).agg(F.sum("c").alias("c"))

@@ -69,6 +69,27 @@ def test_query_over_a_table(spark, tmp_path):
     assert sorted(map(tuple, got)) == plain(rows, 100, 2000) and got
 
 
+def test_windows_are_sent_once_per_core(spark):
+    rows = [("en", f"deep sea {'abcdefgh'[i % 8]} old town") for i in range(400)]
+    docs = phrases._together(spark.createDataFrame(rows, "lang string, text string").repartition(50))
+    often = np.full((3, 1 << 13), 255, np.uint8)
+    got = phrases._windows(docs, often, phrases.Mining(least=1, bits=16))
+    # 26 distinct windows: 8 letters in 3 places of a window, and the two without a letter.
+    assert got.distinct().count() >= 26 and got.count() <= 26 * spark.sparkContext.defaultParallelism
+    assert got.agg(F.sum("c")).first()[0] == 5 * 400
+
+
+def test_windows_outlive_forgotten_words(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ENOUGH", 50)
+    monkeypatch.setattr(phrases, "KNOWN", 4)
+    rows = [("en", "deep sea old town"), ("de", "tief im Tal")] * 100
+    got = phrases._windows(spark.createDataFrame(rows, "lang string, text string").coalesce(1), np.full((3, 1 << 13), 255, np.uint8), phrases.Mining(least=1, bits=16))
+    assert sorted((r.lang, r.w1, r.w2, r.c) for r in got.collect()) == [
+        ("de", "im", "tal", 100), ("de", "tal", "", 100), ("de", "tief", "im", 100),
+        ("en", "deep", "sea", 100), ("en", "old", "town", 100), ("en", "sea", "old", 100), ("en", "town", "", 100),
+    ]
+
+
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
 
