@@ -86,12 +86,15 @@ def place_search(i: Inputs):
 @query("place_lookup")
 def place_lookup(i: Inputs):
     """The whole place tool: all tiers, fuzzy included, coordinates added; 15 hits cut to 5."""
-    hits = search.search(i.bind("name_query"), _places(i), k=15).where("hit <= 5")
-    return crs.bng_to_wgs84(hits).select(
+    queries = i.bind("name_query")
+    asked = search.questions(queries)
+    hits = search.answers(asked, _places(i), k=15).where("hit <= 5")
+    named = crs.bng_to_wgs84(hits).select(
         "query_id", "hit", "row_id", tx.blank_to_null(F.col("name1")).alias("name"), F.lower("local_type").alias("type"),
         _r("lat"), _r("lon"), tx.blank_to_null(F.col("district_borough")).alias("admin_district"),
         tx.blank_to_null(F.col("county_unitary")).alias("county"),
     )
+    return search.for_queries(queries, asked, named)
 
 
 @query("search_fuzzy")

@@ -38,6 +38,21 @@ def test_exact_search_grows_with_the_queries(spark):
     assert found.join(search.name_classes(places), "class_id").count() == 10 * 90 + 10 * 10
 
 
+def test_a_question_that_many_ask_is_answered_once(spark):
+    places = spark.createDataFrame(
+        [(k, n, 1000.0 * k, 0.0, d, None, None) for k, (n, d) in enumerate([("Oak Hill", "North"), ("Oak Hill", "South"), ("Oakham", "North"), ("Weybourne", "South")])],
+        "row_id long, name1 string, easting double, northing double, district_borough string, county_unitary string, populated_place string",
+    )
+    texts = [("oak", None), ("oak", "South"), ("weyborne", None), ("weyborne", "Nowhere"), (" ", None), (None, "North"), ("oak", "")]
+    queries = spark.createDataFrame([(q, *texts[q % 7]) for q in range(70)], "query_id long, query string, context string")
+    asked = search.questions(queries)
+    assert sorted(r.query_id for r in asked.collect()) == [0, 1, 2, 3, 6]
+    one_by_one = search.answers(queries, places, k=3)
+    together = search.search(queries, places, k=3)
+    assert together.columns == one_by_one.columns
+    assert sorted(map(tuple, together.collect()), key=str) == sorted(map(tuple, one_by_one.collect()), key=str) and together.count() > 70
+
+
 def test_runs_merge_in_one_shuffle_and_one_sort(spark):
     plan = _plan(entry.queries()["merged_runs"](spark, SF_DIR))
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
