@@ -1,15 +1,20 @@
-"""Robust similarity fit of point pairs, per match and without any group in one task.
+"""Robust similarity fit of point pairs, per match and without any large group in one task.
 
 Two-point models are drawn by hash, so that a rerun draws the same, in rounds that grow: a match
 stays open until its models are as many as the inlier share found so far asks for, up to
-MAX_MODELS or all its pairs of points. Inliers per model are a plain count with partial sums, and
-the final least-squares fit over the inliers of the best model is a closed form of sums.
+MAX_MODELS or all its pairs of points. Matches of at most PART points are dealt and sorted once
+and tried in Arrow batches, many at a time. For larger ones inliers per model are a plain count with
+partial sums, and the final least-squares fit over the inliers of the best model is a closed form of sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ MAX_MODELS = 2000
 ROUNDS = (16, 48, 192, 512, 1232)  # models per round, MAX_MODELS in all
 CONFIDENCE = 0.999
 PART = 1024  # points of a match that are tried together; a match of many points is many parts
+TASK_POINTS = 250_000  # points of matches that are tried whole in one task
+SLAB = 1 << 16  # residuals held at a time, unless one model has more
 SEED = 42
 MODEL = ("a", "b", "tx", "ty")
 
@@ -115,10 +122,155 @@ def fit_similarity(
 ) -> DataFrame:
     """match_id, a00..a12, n_inliers, n_points; `points` has match_id, idx, x0, y0, x1, y1.
 
-    Matches with fewer than four points, or without a usable model, give no row.
+    Matches with fewer than four points, or without a usable model, give no row. Matches are counted first,
+    which sets the number of tasks and tells whether any has more than PART points.
     """
-    limit = F.lit(threshold * threshold)
+    points = points.where("match_id IS NOT NULL").select("match_id", "idx", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
     sizes = points.groupBy("match_id").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= MIN_POINTS)
+    total, most = sizes.agg(F.sum("n_points"), F.max("n_points")).first()
+    if (most or 0) <= PART:
+        return _fit_whole(points, total or 0, threshold, seed, rounds)
+    large = sizes.where(F.col("n_points") > PART)
+    whole = points.join(large, "match_id", "left_anti")
+    return _fit_whole(whole, total, threshold, seed, rounds).unionByName(_fit_parts(points, large, threshold, seed, rounds))
+
+
+def _votes(xy: np.ndarray, model: np.ndarray, limit: float) -> np.ndarray:
+    """Inliers (matches x models) of xy (4 x matches x points) under model (4 x matches x models)."""
+    _, matches, models = model.shape
+    points = xy.shape[2]
+    across, down = max(1, min(models, SLAB // points)), max(1, SLAB // (models * points))
+    out = np.zeros((matches, models), np.int64)
+    for i in range(0, matches, down):
+        x0, y0, x1, y1 = xy[:, i : i + down, None, :]
+        for j in range(0, models, across):
+            a, b, tx, ty = model[:, i : i + down, j : j + across, None]
+            ex, ey = a * x0 - b * y0 + tx - x1, b * x0 + a * y0 + ty - y1
+            out[i : i + down, j : j + across] = (ex * ex + ey * ey <= limit).sum(axis=2)
+    return out
+
+
+def _draws(keys: np.ndarray, models: range, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of both points of each match's models: the draws of _pair, keys being xxhash64(seed, match_id)."""
+    signed = np.empty((2, len(keys), len(models)), np.int64)
+    for i, key in enumerate(keys.astype(np.uint64).tolist()):
+        made = [xxhash.xxh64_intdigest(m.to_bytes(8, "little"), key) for m in models]
+        for last in range(2):
+            tail = last.to_bytes(4, "little")
+            signed[last, i] = np.array([xxhash.xxh64_intdigest(tail, h) for h in made], np.uint64).view(np.int64)
+    first = signed[0] % n
+    return first, (first + signed[1] % (n - 1) + 1) % n
+
+
+def _fit_alike(xy: np.ndarray, keys: np.ndarray, limit: float, rounds: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b, tx, ty as 4 x matches, inliers per match) of matches of one size: xy is 4 x matches x points in rank order."""
+    _, matches, n = xy.shape
+    pairs, max_models, done = n * (n - 1) // 2, sum(rounds), 0
+    best, model = np.zeros(matches, np.int64), np.full((4, matches), np.nan)
+    for size in rounds:
+        share = best / n
+        needed = np.where(share > 0, np.log(1 - CONFIDENCE) / np.log1p(-np.where((share > 0) & (share < 1), share, 0.5) ** 2), max_models)
+        needed = np.minimum(np.where(share >= 1, 1.0, needed), pairs)
+        at = np.flatnonzero(needed > done)
+        numbers = range(done, min(done + size, pairs) if pairs <= max_models else done + size)
+        if not len(at) or not len(numbers):
+            break
+        if pairs <= max_models:
+            m = np.array(numbers)
+            q = np.floor((np.sqrt(8.0 * m + 1) + 1) / 2).astype(np.int64)
+            p, q = (np.broadcast_to(r, (len(at), len(m))) for r in (m - q * (q - 1) // 2, q))
+        else:
+            p, q = _draws(keys[at], numbers, n)
+        (px, py, pu, pv), (qx, qy, qu, qv) = ([np.take_along_axis(c, r, axis=1) for c in xy[:, at]] for r in (p, q))
+        ux, uy, vx, vy = qx - px, qy - py, qu - pu, qv - pv
+        norm = ux * ux + uy * uy
+        a, b = (ux * vx + uy * vy) / norm, (ux * vy - uy * vx) / norm
+        a[(norm == 0) | ((a == 0) & (b == 0))] = np.nan  # no model, so no inliers
+        drawn = np.array([a, b, pu - a * px + b * py, pv - b * px - a * py])
+        votes = _votes(xy[:, at], drawn, limit)
+        top = votes.argmax(axis=1)  # of equal models the first
+        n_top, each = votes[np.arange(len(at)), top], np.arange(len(at))
+        better = n_top > best[at]
+        best[at[better]] = n_top[better]
+        model[:, at[better]] = drawn[:, each[better], top[better]]
+        done += size
+    return model, best
+
+
+def _refit(xy: np.ndarray, model: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares (a, b, tx, ty as 4 x matches) over the inliers of each match's model, and their number."""
+    a, b, tx, ty = model[:, :, None]
+    x0, y0, x1, y1 = xy
+    ex, ey = a * x0 - b * y0 + tx - x1, b * x0 + a * y0 + ty - y1
+    near = ex * ex + ey * ey <= limit
+    count = near.sum(axis=1)
+    means = np.where(near, xy, 0).sum(axis=2) / count
+    dx, dy, du, dv = np.where(near, xy - means[:, :, None], 0)
+    var = (dx * dx + dy * dy).sum(axis=1)
+    var[var == 0] = np.nan
+    a, b = (dx * du + dy * dv).sum(axis=1) / var, (dx * dv - dy * du).sum(axis=1) / var
+    return np.array([a, b, means[2] - a * means[0] + b * means[1], means[3] - b * means[0] - a * means[1]]), count
+
+
+def _fit_whole(points: DataFrame, total: int, threshold: float, seed: int, rounds: Sequence[int]) -> DataFrame:
+    """fit_similarity of matches of at most PART points, `total` points in all: one shuffle and one sort."""
+    limit = threshold * threshold
+
+    def fit(ids: pa.Array, keys: np.ndarray, xy: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lengths = ends - starts
+        for n in np.unique(lengths[lengths >= MIN_POINTS]).tolist():
+            first = starts[lengths == n]
+            alike = xy[:, first[:, None] + np.arange(n)]
+            with np.errstate(all="ignore"):
+                model, best = _fit_alike(alike, keys[first], limit, rounds)
+                (a, b, tx, ty), count = _refit(alike, model, limit)
+            ok = np.flatnonzero((best > 0) & ~np.isnan(a) & ~np.isnan(b))
+            columns = [a, -b, tx, b, a, ty, count]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(first[ok])), *[pa.array(c[ok]) for c in columns], pa.array(np.full(len(ok), n))],
+                ["match_id", "a00", "a01", "a02", "a10", "a11", "a12", "n_inliers", "n_points"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]) if held is not None else now
+            yield from some(now, cut := last(now))
+            held = now.slice(cut)
+        if held is not None:
+            yield from some(held, held.num_rows)
+
+    def bounds(ids: pa.Array) -> np.ndarray:
+        """Places where a match begins."""
+        new = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+        return np.append(0, np.flatnonzero(new) + 1)
+
+    def last(table: pa.Table) -> int:
+        return int(bounds(table["match_id"].combine_chunks())[-1])
+
+    def some(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
+        if upto:
+            part = table.slice(0, upto)
+            ids = part["match_id"].combine_chunks()
+            starts = bounds(ids)
+            xy = np.array([part[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], np.float64)
+            yield from fit(ids, part["_key"].to_numpy(), xy, starts, np.append(starts[1:], upto))
+
+    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.repartition(max(least, -(-total // TASK_POINTS)), "match_id")
+    dealt = dealt.withColumns({"_key": F.xxhash64(F.lit(seed), "match_id"), "_draw": F.xxhash64(F.lit(seed), "match_id", "idx")})
+    ranked = dealt.sortWithinPartitions("match_id", "_draw", "idx").select("match_id", "_key", "x0", "y0", "x1", "y1")
+    id_type = points.schema["match_id"].dataType.simpleString()
+    doubles = ", ".join(f"{c} double" for c in AFFINE)
+    return ranked.mapInArrow(run, f"match_id {id_type}, {doubles}, n_inliers long, n_points long")
+
+
+def _fit_parts(points: DataFrame, sizes: DataFrame, threshold: float, seed: int, rounds: Sequence[int]) -> DataFrame:
+    """fit_similarity of the matches of `sizes` (match_id, n_points), none of them in one task."""
+    limit = F.lit(threshold * threshold)
     best = _best_models(points, sizes, limit, seed, rounds)
     inliers = points.join(best, "match_id").where(_residual2("") <= limit)
     sums = inliers.groupBy("match_id").agg(

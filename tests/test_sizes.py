@@ -1,13 +1,15 @@
 """Plans and results that must hold on tables larger than the smallest ones."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sitewise.functions.geometry import MULTI
-from sitewise.operators import polygon, search
+from sitewise.operators import polygon, registration, search
 from sitewise.session import spread
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -82,3 +84,43 @@ def test_area_and_centroid_in_one_pass_equal_both(spark):
 
 def test_overlay_sends_no_table_to_the_driver(spark):
     assert "BroadcastExchange" not in _plan(entry.queries()["polygon_overlay"](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("name", ["similarity_fit", "similarity_fit_shares"])
+def test_fits_of_small_matches_join_no_points_with_models(spark, name):
+    plan = _plan(entry.queries()[name](spark, SF_DIR))
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("MapInArrow") == 1 and "HashAggregate" not in plan
+    # similarity_fit_shares joins its points with their vectors.
+    assert plan.count("Join") == (name == "similarity_fit_shares")
+
+
+def test_whole_matches_fit_like_parts(spark, monkeypatch):
+    rng, rows = random.Random(4), [(None, i, 1.0 * i, 2.0, 3.0, 4.0) for i in range(9)]
+    sizes = [3, 4, 5, 12, 12, 40, 64, 65, 100, 100, 150]
+    for m, n in enumerate(sizes):
+        for i in range(n):
+            x, y = rng.uniform(0, 500), rng.uniform(0, 500)
+            moved = rng.uniform(-900, 900) if i % 3 == 1 else rng.gauss(0, 1)
+            rows.append((f"m{m}", i, x, None if i == 8 else y, 1.2 * x - 0.5 * y + moved, 0.5 * x + 1.2 * y + 2 * moved))
+    rows += [("same", i, 1.0, 1.0, 2.0, 2.0) for i in range(6)] + [("flat", i, 1.0 * i, 1.0, 2.0, 2.0) for i in range(6)]
+    points = spark.createDataFrame(rows, "match_id string, idx int, x0 double, y0 double, x1 double, y1 double").repartition(3)
+
+    def fits():
+        return {r.match_id: r.asDict() for r in registration.fit_similarity(points).collect()}
+
+    whole = fits()
+    assert set(whole) == {f"m{m}" for m, n in enumerate(sizes) if n > 3} and all(whole[f"m{m}"]["n_points"] == sizes[m] for m in range(1, len(sizes)))
+    for part in (2, 50):  # all matches in parts, then the larger ones
+        monkeypatch.setattr(registration, "PART", part)
+        assert fits() == {k: {c: pytest.approx(x, rel=1e-9, abs=1e-6) if isinstance(x, float) else x for c, x in v.items()} for k, v in whole.items()}
+
+
+def test_whole_matches_draw_the_models_of_parts(spark):
+    rows = spark.range(3).select(F.concat(F.lit("m"), "id").alias("match_id"), F.xxhash64(F.lit(7), F.concat(F.lit("m"), "id")).alias("key"))
+    n, models = 70, range(5, 30)
+    drawn = rows.withColumn("model", F.explode(F.sequence(F.lit(5), F.lit(29)).cast("array<bigint>")))
+    p, q = registration._pair(F.lit(n).cast("bigint"), F.lit(n * (n - 1) // 2).cast("bigint"), F.col("model"), 7, 2000)
+    want = {(r.match_id, r.model): (r.p, r.q) for r in drawn.select("match_id", "model", p.alias("p"), q.alias("q")).collect()}
+    keys = {r.match_id: r.key for r in rows.collect()}
+    first, second = registration._draws(np.array(list(keys.values())), models, n)
+    assert want == {(k, m): (first[i, j], second[i, j]) for i, k in enumerate(keys) for j, m in enumerate(models)}
