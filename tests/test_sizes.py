@@ -94,6 +94,13 @@ def test_fits_of_small_matches_join_no_points_with_models(spark, name):
     assert plan.count("Join") == (name == "similarity_fit_shares")
 
 
+def test_tasks_of_a_fit_grow_with_its_points(spark, monkeypatch):
+    monkeypatch.setattr(registration, "TASK_POINTS", 100, raising=False)
+    points = spark.range(3200).selectExpr("id div 32 AS match_id", "id % 32 AS idx", *[f"cast(id * {k} % 97 AS double) AS {c}" for k, c in zip((3, 5, 3, 5), ("x0", "y0", "x1", "y1"))])
+    fits = registration.fit_similarity(points)
+    assert fits.rdd.getNumPartitions() == 32 and fits.count() == 100
+
+
 def test_whole_matches_fit_like_parts(spark, monkeypatch):
     rng, rows = random.Random(4), [(None, i, 1.0 * i, 2.0, 3.0, 4.0) for i in range(9)]
     sizes = [3, 4, 5, 12, 12, 40, 64, 65, 100, 100, 150]
