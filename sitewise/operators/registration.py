@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions import geo
@@ -28,7 +28,7 @@ MAX_MODELS = 2000
 ROUNDS = (16, 48, 192, 512, 1232)  # models per round, MAX_MODELS in all
 CONFIDENCE = 0.999
 PART = 1024  # points of a match that are tried together; a match of many points is many parts
-TASK_POINTS = 250_000  # points of matches that are tried whole in one task
+TASK_POINTS = 250_000  # points in one task; tasks are as many as all points ask for
 SLAB = 1 << 16  # residuals held at a time, unless one model has more
 SEED = 42
 MODEL = ("a", "b", "tx", "ty")
@@ -68,15 +68,20 @@ def _models(ranked: DataFrame, asked: DataFrame, seed: int, max_models: int) ->
     )
 
 
-def _best_models(points: DataFrame, sizes: DataFrame, limit: Column, seed: int, rounds: Sequence[int]) -> DataFrame:
+def _tasks(spark: SparkSession, points: int) -> int:
+    """Tasks for so many points, so that what one of them holds doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points // TASK_POINTS))
+
+
+def _best_models(points: DataFrame, sizes: DataFrame, tasks: int, limit: Column, seed: int, rounds: Sequence[int]) -> DataFrame:
     """match_id and the model with most inliers; ties go to the one drawn first."""
     checkpoint_dir(points.sparkSession)
     draw = F.xxhash64(F.lit(seed), "match_id", "idx")
     usable = points.join(sizes.select("match_id"), "match_id", "left_semi").withColumn("_draw", draw)
-    ranked = bucketed_rank(usable, ["match_id"], [F.col("_draw"), F.col("idx")], F.shiftright("_draw", 58), "_rank")
+    usable = usable.withColumn("_bucket", F.shiftright("_draw", 58)).repartition(tasks, "match_id", "_bucket")
+    ranked = bucketed_rank(usable, ["match_id"], [F.col("_draw"), F.col("idx")], F.col("_bucket"), "_rank")
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn("_part", F.floor(F.col("_rank") / PART)).drop("_draw")
     # Points times models is far more work than the points' bytes tell, so their spread is set here.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = ranked.repartition(tasks, "match_id", "_part").checkpoint()
     max_models, done = sum(rounds), 0
     pairs = F.floor(F.col("n_points") * (F.col("n_points") - 1) / 2)
@@ -126,13 +131,16 @@ def fit_similarity(
     which sets the number of tasks and tells whether any has more than PART points.
     """
     points = points.where("match_id IS NOT NULL").select("match_id", "idx", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    sizes = points.groupBy("match_id").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= MIN_POINTS)
-    total, most = sizes.agg(F.sum("n_points"), F.max("n_points")).first()
-    if (most or 0) <= PART:
-        return _fit_whole(points, total or 0, threshold, seed, rounds)
-    large = sizes.where(F.col("n_points") > PART)
-    whole = points.join(large, "match_id", "left_anti")
-    return _fit_whole(whole, total, threshold, seed, rounds).unionByName(_fit_parts(points, large, threshold, seed, rounds))
+    sizes = points.groupBy("match_id").agg(F.count("*").alias("n_points"))
+    # Points of matches too small to fit are dealt with the others, so they count too.
+    n, is_large = F.col("n_points"), F.col("n_points") > max(PART, MIN_POINTS - 1)
+    in_whole, in_large = (c or 0 for c in sizes.agg(F.sum(F.when(~is_large, n)), F.sum(F.when(is_large, n))).first())
+    spark = points.sparkSession
+    if not in_large:
+        return _fit_whole(points, _tasks(spark, in_whole), threshold, seed, rounds)
+    large = sizes.where(is_large)
+    whole = _fit_whole(points.join(large, "match_id", "left_anti"), _tasks(spark, in_whole), threshold, seed, rounds)
+    return whole.unionByName(_fit_parts(points, large, _tasks(spark, in_large), threshold, seed, rounds))
 
 
 def _votes(xy: np.ndarray, model: np.ndarray, limit: float) -> np.ndarray:
@@ -212,8 +220,8 @@ def _refit(xy: np.ndarray, model: np.ndarray, limit: float) -> tuple[np.ndarray,
     return np.array([a, b, means[2] - a * means[0] + b * means[1], means[3] - b * means[0] - a * means[1]]), count
 
 
-def _fit_whole(points: DataFrame, total: int, threshold: float, seed: int, rounds: Sequence[int]) -> DataFrame:
-    """fit_similarity of matches of at most PART points, `total` points in all: one shuffle and one sort."""
+def _fit_whole(points: DataFrame, tasks: int, threshold: float, seed: int, rounds: Sequence[int]) -> DataFrame:
+    """fit_similarity of matches of at most PART points: one shuffle and one sort."""
     limit = threshold * threshold
 
     def fit(ids: pa.Array, keys: np.ndarray, xy: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -259,8 +267,7 @@ def _fit_whole(points: DataFrame, total: int, threshold: float, seed: int, round
             xy = np.array([part[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], np.float64)
             yield from fit(ids, part["_key"].to_numpy(), xy, starts, np.append(starts[1:], upto))
 
-    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = points.repartition(max(least, -(-total // TASK_POINTS)), "match_id")
+    dealt = points.repartition(tasks, "match_id")
     dealt = dealt.withColumns({"_key": F.xxhash64(F.lit(seed), "match_id"), "_draw": F.xxhash64(F.lit(seed), "match_id", "idx")})
     ranked = dealt.sortWithinPartitions("match_id", "_draw", "idx").select("match_id", "_key", "x0", "y0", "x1", "y1")
     id_type = points.schema["match_id"].dataType.simpleString()
@@ -268,10 +275,10 @@ def _fit_whole(points: DataFrame, total: int, threshold: float, seed: int, round
     return ranked.mapInArrow(run, f"match_id {id_type}, {doubles}, n_inliers long, n_points long")
 
 
-def _fit_parts(points: DataFrame, sizes: DataFrame, threshold: float, seed: int, rounds: Sequence[int]) -> DataFrame:
+def _fit_parts(points: DataFrame, sizes: DataFrame, tasks: int, threshold: float, seed: int, rounds: Sequence[int]) -> DataFrame:
     """fit_similarity of the matches of `sizes` (match_id, n_points), none of them in one task."""
     limit = F.lit(threshold * threshold)
-    best = _best_models(points, sizes, limit, seed, rounds)
+    best = _best_models(points, sizes, tasks, limit, seed, rounds)
     inliers = points.join(best, "match_id").where(_residual2("") <= limit)
     sums = inliers.groupBy("match_id").agg(
         F.count("*").alias("n_inliers"),

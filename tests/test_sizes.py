@@ -101,6 +101,29 @@ def test_tasks_of_a_fit_grow_with_its_points(spark, monkeypatch):
     assert fits.rdd.getNumPartitions() == 32 and fits.count() == 100
 
 
+def _alike_points(spark, n, each):
+    columns = [f"cast(id * {k} % 97 AS double) AS {c}" for k, c in zip((3, 5, 3, 5), ("x0", "y0", "x1", "y1"))]
+    return spark.range(n).selectExpr(f"id div {each} AS match_id", f"id % {each} AS idx", *columns)
+
+
+def test_points_of_matches_too_small_to_fit_ask_for_tasks_too(spark, monkeypatch):
+    monkeypatch.setattr(registration, "TASK_POINTS", 100)
+    fits = registration.fit_similarity(_alike_points(spark, 3200, 2).unionByName(_alike_points(spark, 320, 32)))
+    # Both have matches 0 to 9, which so have 34 points.
+    assert fits.rdd.getNumPartitions() == 36 and {(r.match_id, r.n_points) for r in fits.collect()} == {(m, 34) for m in range(10)}
+
+
+def test_tasks_of_large_matches_grow_with_their_points(spark, monkeypatch):
+    points, dealt, rank = _alike_points(spark, 3200, 32), [], registration.bucketed_rank
+    whole = {r.match_id: r.asDict() for r in registration.fit_similarity(points).collect()}
+    monkeypatch.setattr(registration, "TASK_POINTS", 100)
+    monkeypatch.setattr(registration, "PART", 20)
+    monkeypatch.setattr(registration, "bucketed_rank", lambda df, *args: dealt.append(df.rdd.getNumPartitions()) or rank(df, *args))
+    parts = {r.match_id: r.asDict() for r in registration.fit_similarity(points).collect()}
+    assert dealt == [32] and len(parts) == 100
+    assert parts == {k: {c: pytest.approx(x, rel=1e-9, abs=1e-6) if isinstance(x, float) else x for c, x in v.items()} for k, v in whole.items()}
+
+
 def test_whole_matches_fit_like_parts(spark, monkeypatch):
     rng, rows = random.Random(4), [(None, i, 1.0 * i, 2.0, 3.0, 4.0) for i in range(9)]
     sizes = [3, 4, 5, 12, 12, 40, 64, 65, 100, 100, 150]
