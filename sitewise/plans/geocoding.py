@@ -27,18 +27,24 @@ _PLACE_SQL = """
     g AS (SELECT *, lower(trim(name1)) AS name_lc, concat(lower(district_borough), chr(10), lower(county_unitary), chr(10)) AS admin FROM place)"""
 
 
-@query("search_exact", "place", "name_query", sql=f"""WITH {CANDIDATE_SQL}, {_PLACE_SQL},
+@query("search_exact", "place", "name_query", sql=f"""WITH {CANDIDATE_SQL}, {_PLACE_SQL}
+    SELECT query_id, cand_pos, row_id FROM cands JOIN g ON cand = name_lc""")
+def search_exact(i: Inputs):
+    return search.exact_pairs(i.bind("name_query"), _places(i))
+
+
+@query("search_exact_classes", "place", "name_query", sql=f"""WITH {CANDIDATE_SQL}, {_PLACE_SQL},
     cl AS (SELECT name_lc, min(row_id) AS class_id, count(*) AS n_links FROM g GROUP BY 1)
     SELECT query_id, cand_pos, class_id, n_links FROM cands JOIN cl ON cand = name_lc""")
-def search_exact(i: Inputs):
-    """Candidates against the classes of places of one name: the pairs of places stay membership (place_classes)."""
+def search_exact_classes(i: Inputs):
+    """Candidates against the classes of places of one name, whose members place_classes gives."""
     return search.exact_matches(i.bind("name_query"), _places(i))
 
 
 @query("place_classes", "place", sql=f"""WITH {_PLACE_SQL[1:]}
     SELECT row_id, name_lc, min(row_id) OVER (PARTITION BY name_lc) AS class_id FROM g""")
 def place_classes(i: Inputs):
-    """Membership of the classes that search_exact links."""
+    """Membership of the classes that search_exact_classes links."""
     return search.name_classes(_places(i))
 
 

@@ -40,6 +40,24 @@ def test_exact_search_grows_with_the_queries(spark):
     assert found.join(search.name_classes(places), "class_id").count() == 10 * 90 + 10 * 10
 
 
+def test_exact_search_gives_every_pair_in_tasks_that_grow_with_them(spark, monkeypatch):
+    whole = entry.queries()["search_exact"](spark, SF_DIR)
+    links = entry.queries()["search_exact_classes"](spark, SF_DIR).agg(F.sum("n_links")).first()[0]
+    assert sorted(whole.columns) == ["cand_pos", "query_id", "row_id"] and whole.count() == links > 0
+    monkeypatch.setattr(search, "NAME_BLOCK", 7)
+    monkeypatch.setattr(search, "TASK_PAIRS", 100)
+    names, texts = ["oak", "oak", "elm", "oak village", "ash"], ["Oak Village", "ELM", "oak", " ", None, "yew"]
+    spots = [(None if k == 50 else k, names[k % 5]) for k in range(100)] + [(0, "oak"), (1, None)]
+    asked = [(q, texts[q % 6]) for q in range(60)] + [(0, "Oak Village")]
+    places = spark.createDataFrame(spots, "row_id long, name_lc string")
+    found = search.exact_pairs(spark.createDataFrame(asked, "query_id long, query string"), places)
+    tried = {"Oak Village": ["oak village", "oak"], "ELM": ["elm"], "oak": ["oak"], "yew": ["yew"]}
+    want = [(q, n, r) for q, t in asked for n, c in enumerate(tried.get(t, [])) for r, name in spots if name == c]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert found.rdd.getNumPartitions() == -(-len(want) // 100) > 8
+    assert search.exact_pairs(spark.createDataFrame([], "query_id long, query string"), places).count() == 0
+
+
 def test_a_question_that_many_ask_is_answered_once(spark):
     places = spark.createDataFrame(
         [(k, n, 1000.0 * k, 0.0, d, None, None) for k, (n, d) in enumerate([("Oak Hill", "North"), ("Oak Hill", "South"), ("Oakham", "North"), ("Weybourne", "South")])],
